@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from inkwell.llm import chat, exact_dedup
+from inkwell.llm import bpe, chat, exact_dedup, packing, warc
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_curve_packing": packing.op4_curve_packing,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op8_chat_formatting": chat.SQL,
+    "op10_warc": warc.SQL,
 }

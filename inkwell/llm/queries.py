@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, chat, exact_dedup, packing, warc
+from inkwell.llm import bpe, chat, exact_dedup, language, ngram_join, packing, quality, warc
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_language_id": language.op3_language_id,
     "op4_curve_packing": packing.op4_curve_packing,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_warc": warc.op10_warc,
 }

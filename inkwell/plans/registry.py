@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from inkwell.plans import retrieval_queries
+
+MODULES = (retrieval_queries,)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}

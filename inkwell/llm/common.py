@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
 
 
+def release(spark) -> None:
+    """Lets Spark delete the shuffle files of finished steps now instead of at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of undirected edges (a, b): one row (id, component) per node that has an edge,
     component being the smallest id reachable.

@@ -11,7 +11,6 @@ upper two levels (256 nodes) on the driver, and each chunk gets back the values
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import release
 from inkwell.llm.language import held_out
 from inkwell.session import load, materialize
 
@@ -199,12 +199,6 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(key), chunk)), "key": pa.array(key[by]), "n": pa.array(n[by])})
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps now instead of at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 

@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join: a size-aware heavy-light join over sets of word shingles.
 
-Sets are ordered by one global order, rare shingles first. Two sets with Jaccard >= 0.8 share at least two of the
-first n - ceil(0.8 n) + 2 shingles of each, and one of the first n - ceil(0.8 n) + 1. Light sets, smaller than a
-boundary, therefore enumerate all two-element subsets of the former; heavy ones, and light ones that could be their
-partners, scan the inverted lists of the latter. The boundary is where the estimated cost of both together is least.
+Sets are ordered by one global order, rare shingles first. Two sets with Jaccard >= 0.8 share at least k of the first
+n - ceil(0.8 n) + k shingles of each, for any k up to ceil(0.8 n). Light sets, smaller than a boundary, therefore
+enumerate all two-element subsets of such a prefix (k = 2); heavy ones, and light ones that could be their partners,
+scan the inverted lists of theirs and must meet SCANNED times (k = SCANNED). The boundary is where the estimated cost
+of both together is least.
 
 Links are needed up to connectivity, so no list emits all its pairs: each set is first compared with the head it
 meets most often, components form, and then only pairs of a list that lie in different components are compared.
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import components
+from inkwell.llm.common import components, release
 from inkwell.session import load, materialize
 
 #: Words of a shingle; the similarity is NUM / DEN.
@@ -30,6 +31,8 @@ WORDS, NUM, DEN = 5, 4, 5
 #: Hashes that a task counts at a time; shingles in the broadcast order at most (9 bytes each); sets of BOUNDARY_MOST
 #: shingles and more are always heavy.
 CHUNK, ORDER_MOST, BOUNDARY_MOST = 1 << 22, 1 << 20, 200
+#: Lists in which a pair with a heavy set must meet; sets below four shingles have no unequal partner.
+SCANNED = 4
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -118,6 +121,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(t) for t in b.column(0).to_pylist()]
+        key = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+
 def shingle_order(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and the class (log2 of the count) of each: at most ORDER_MOST, those from
     the smallest power of two at which so few remain. Any set of them gives a valid order; all others are class 0."""
@@ -138,7 +148,7 @@ def shingle_order(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def choose_boundary(sizes: list[tuple[int, int, int]], spread: int) -> int:
     """Smallest size of a heavy set. sizes: (n, sets, list entries their prefixes met in a task); spread: tasks."""
     best, at = None, 4
-    rows = {n: (m, m * (n - need(n) + 2) * (n - need(n) + 1) // 2, m * (n - need(n) + 1) + scan * spread) for n, m, scan in sizes}
+    rows = {n: (m, m * (n - need(n) + 2) * (n - need(n) + 1) // 2, m * (n - need(n) + SCANNED) + scan * spread) for n, m, scan in sizes}
     for b in range(4, BOUNDARY_MOST + 1):
         cost = sum(x[1] if n < b else x[2] for n, x in rows.items())
         if best is None or cost < best:
@@ -155,6 +165,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class. Very long texts are read whole, ties of the order go by hash, other columns are not read, and an empty
     table gives an empty result. links_verified counts the class's verified links to other classes.
     """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     told = own.mapInArrow(_describe, f"id {kind}, n long, key long, sig binary, scan long, hs array<long>, cs array<long>")
@@ -165,7 +176,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spread = max(1, told.where("hs is not null").count())
     sizes = rows.where(f"n between 4 and {BOUNDARY_MOST - 1}").groupBy("n").agg(F.countDistinct("key"), F.sum("scan")).collect()
     boundary = choose_boundary([tuple(map(int, r)) for r in sizes], spread)
-    order = docs.sparkSession.sparkContext.broadcast((often, level))
+    order = spark.sparkContext.broadcast((often, level))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, classes = order.value
@@ -184,10 +195,10 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 spare = n - need(n)
                 own = []
                 if n * DEN >= boundary * NUM:
-                    own.append((s[: spare + 1], np.arange(spare + 1)))
+                    own.append((s[: spare + SCANNED], np.arange(min(n, spare + SCANNED))))
                 if n < boundary:
                     a, c = np.array(list(combinations(range(spare + 2), 2))).T
-                    own.append((mix(s[a] * M2 + mix(s[c])), np.zeros(len(a), np.int64)))
+                    own.append((mix(s[a] * M2 + mix(s[c])), np.full(len(a), -1)))
                 for h, p in own:
                     hs.append(h)
                     at.append(p)
@@ -200,50 +211,48 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = materialize(own.select("text").mapInArrow(post, "h long, key long, n int, pos int"), "postings")
     heads = postings.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     live = materialize(postings.join(heads, "h").distinct(), "lists")
+    release(spark)
 
-    # The whole sets of all that share a list with another set.
-    keys = live.select("key").distinct()
-    first = rows.groupBy("key").agg(F.min("id").alias("id")).join(keys, "key", "left_semi")
-    texts = own.join(first.select("id"), "id", "left_semi").select("text")
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column(0).to_pylist()]
-            key = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    sets = texts.mapInArrow(collect, "key long, s array<long>").dropDuplicates(["key"])
-    sets = materialize(sets, "sets")
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """(key, s): the whole sets of the keys, from the text of one document each."""
+        first = rows.groupBy("key").agg(F.min("id").alias("id")).join(keys, "key", "left_semi")
+        texts = own.join(first.select("id"), "id", "left_semi").select("text")
+        return materialize(texts.mapInArrow(_sets, "key long, s array<long>"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that link."""
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         got = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
         got = got.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - both
-        return materialize(got.where(both * 100 >= union * 80).select("a", "b"), "links")
-
-    # Each set with the head it meets in most lists.
-    met = live.select("key", F.explode(F.array("low", "high")).alias("head")).where("key <> head")
-    met = met.groupBy("key", "head").count()
-    star = met.groupBy("key").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
+        linked = materialize(got.where(both * 100 >= union * 80).select("a", "b").distinct(), "links")
+        release(spark)
+        return linked
+
+    # Each set with the head it meets in most lists; heads met once in a scanned list are left to the second round.
+    met = live.select("key", "pos", F.explode(F.array("low", "high")).alias("head")).where("key <> head")
+    met = met.groupBy("key", "head").agg(F.sum(F.when(F.col("pos") < 0, 2).otherwise(1)).alias("met")).where("met > 1")
+    star = met.groupBy("key").agg(F.max_by("head", F.struct("met", "head")).alias("head"))
     star = materialize(star.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "stars")
     links = verify(star)
     found = materialize(components(links), "found")
 
-    # Pairs of a list in different components so far.
+    # Pairs in different components so far, that meet often enough.
     placed = live.join(found.select(F.col("id").alias("key"), "component"), "key", "left")
     placed = placed.select("h", "key", "n", "pos", F.coalesce("component", "key").alias("comp"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
     placed = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
     x, y = (placed.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "pos", "comp")]) for k in "xy")
     fits = (F.col("n_x") * DEN >= F.col("n_y") * NUM) & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
-    most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    room = most * (NUM + DEN) >= (F.col("n_x") + F.col("n_y")) * NUM
+    most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    room = (F.col("pos_x") < 0) | (most * (NUM + DEN) >= (F.col("n_x") + F.col("n_y")) * NUM)
     cross = x.join(y, (x["h"] == y["h"]) & (x["key_x"] < y["key_y"]) & (x["comp_x"] != y["comp_y"]) & fits & room)
-    cross = cross.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = verify(cross)
-    links = links.union(more)
+    cross = cross.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(F.sum(F.when(F.col("pos_x") < 0, SCANNED).otherwise(1)).alias("met"))
+    cross = cross.where(F.col("met") >= SCANNED).select("a", "b").join(star, ["a", "b"], "left_anti")
+    cross = materialize(cross, "cross")
+    release(spark)
+    links = links.union(verify(cross))
     found = components(links)
 
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("links_verified"))

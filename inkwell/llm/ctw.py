@@ -6,11 +6,13 @@ mixed by the tree's weights. The tree is trained from counts, then frozen.
 
 Nothing that grows with the corpus is broadcast: texts are cut into chunks of some megabytes, each chunk asks for the
 contexts and words it holds, counts are summed by key, subtrees below the last two bytes are weighted in groups, the
-upper two levels (256 nodes) on the driver, and each chunk gets back the values of its own keys.
+upper two levels (256 nodes) on the driver, and each chunk gets back the values of its own keys: those that most chunks
+ask for from a broadcast table of fixed size, all others by a join.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,9 @@ from inkwell.llm.common import release
 from inkwell.llm.language import held_out
 from inkwell.session import load, materialize
 
-DEPTH, CHUNK_BYTES = 4, 8 << 20
+DEPTH, CHUNK_BYTES = 4, 6 << 20
+#: Keys of the broadcast table at most (17 bytes each).
+COMMON_MOST = 1 << 20
 #: Bytes that UTF-8 never has: what stands before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 #: Largest lookup table of the dense ranking of contexts.
@@ -61,10 +65,13 @@ def context_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     two = (seq[:-1].astype(np.uint16) << 8) | seq[1:]
     kinds2, rank2 = _rank(two, 1 << 16)
     r = len(kinds2)
-    at = np.flatnonzero(coded)
-    four = rank2[at - 4].astype(np.int64) * r + rank2[at - 2]
+    at = np.flatnonzero(coded).astype(np.int32)
+    four = rank2[at - 4].astype(np.int32 if r * r < 1 << 31 else np.int64) * r + rank2[at - 2]
+    del two, rank2
     kinds4, rank4 = _rank(four, r * r)
-    last = rank4.astype(np.int64) * 256 + seq[at]
+    del four
+    last = rank4.astype(np.int32 if len(kinds4) < 1 << 23 else np.int64) * 256 + seq[at]
+    del rank4, at
     kinds, rank = _rank(last, len(kinds4) * 256)
     context = kinds4[kinds >> 8]
     keys = (kinds2[context // r].astype(np.int64) << 24) | (kinds2[context % r].astype(np.int64) << 8) | (kinds & 255)
@@ -188,10 +195,12 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, texts, train = _open(blob)
             keys, rank, n = context_keys(texts)
             counts = np.bincount(rank, np.repeat(train, n), len(keys)).astype(np.int64)
-            words: dict[bytes, int] = {END_WORD: int(train.sum())}
+            words = Counter({END_WORD: int(train.sum())})
             for t, own in zip(texts, train.tolist(), strict=True):
-                for w in t.split():
-                    words[w] = words.get(w, 0) + own
+                if own:
+                    words.update(t.split())
+            for w in set().union(*(t.split() for t, own in zip(texts, train.tolist(), strict=True) if not own)):
+                words.setdefault(w, 0)
             wk = np.fromiter(map(word_key, words), np.int64, len(words))
             wn = np.fromiter(words.values(), np.int64, len(words))
             key, n = np.concatenate([wk, keys]), np.concatenate([wn, counts])
@@ -199,6 +208,31 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(key), chunk)), "key": pa.array(key[by]), "n": pa.array(n[by])})
 
 
+def _common_from(counts: DataFrame) -> int:
+    """The least number of chunks, a power of two, from which at most COMMON_MOST keys are asked for."""
+    level = F.floor(F.log2("chunks")).cast("int")
+    total, least = 0, 62
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        if total + row[1] > COMMON_MOST:
+            break
+        total, least = total + row[1], row[0]
+    return 1 << least
+
+
+def _look_up(keys: np.ndarray, *tables) -> tuple[np.ndarray, np.ndarray]:
+    """value and known of each key, from the table that has it; one that no table has is an error."""
+    value, known, seen = np.zeros(len(keys)), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    for have, v, k in tables:
+        if len(have):
+            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            hit = have[at] == keys
+            value[hit], known[hit] = v[at[hit]], k[at[hit]]
+            seen |= hit
+    if not seen.all():
+        raise ValueError("a chunk's key has no value")
+    return value, known
+
+
 def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
@@ -212,10 +246,8 @@ def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blobs = materialize(own.mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
-    # One chunk a task's step; files of several chunks are dealt out again, as their texts are compressed.
-    asked = blobs.repartition(max(1, blobs.count())).mapInArrow(_requests, "chunk long, key long, n long")
-    asked = materialize(asked, "asked")
-    counts = materialize(asked.groupBy("key").agg(F.sum("n").alias("c")), "counts")
+    asked = materialize(blobs.mapInArrow(_requests, "chunk long, key long, n long"), "asked")
+    counts = materialize(asked.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "counts")
     release(spark)
 
     words = counts.where("key < 0")
@@ -244,35 +276,46 @@ def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
 
     base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     values = words.select("key", base.alias("value"), (F.col("c") > 0).alias("known"))
-    values = values.union(tree.where("key is not null").select("key", mixed("key", "p"), F.lit(True)))
-    answers = asked.select("chunk", "key").join(materialize(values, "values"), "key")
+    values = values.unionAll(tree.where("key is not null").select("key", mixed("key", "p"), F.lit(True)))
+    values = materialize(values, "values")
+    release(spark)
+    common = counts.where(F.col("chunks") >= _common_from(counts)).select("key")
+    table = values.join(common, "key", "left_semi").orderBy("key").toArrow()
+    told = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("key", "value", "known")))
+    # common has at most COMMON_MOST rows.
+    answers = asked.select("chunk", "key").join(F.broadcast(common), "key", "left_anti").join(values, "key")
     out = f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
     def score(key, left, right):
         import pandas as pd
 
-        by = np.argsort(right["key"].to_numpy())
-        have, value, known = (right[c].to_numpy()[by] for c in ("key", "value", "known"))
+        by = np.argsort(right["key"].to_numpy(np.int64))
+        rare = tuple(right[c].to_numpy(t)[by] for c, t in (("key", np.int64), ("value", np.float64), ("known", bool)))
         parts = []
         for blob in left["blob"]:
             ids, texts, _ = _open(blob)
             keys, rank, n = context_keys(texts)
-            of_key = value[np.searchsorted(have, keys)]
-            assert len(of_key) == 0 or (have[np.searchsorted(have, keys)] == keys).all()
-            sums = np.add.reduceat(of_key[rank], np.cumsum(n) - n)
-            kinds = list(set().union([END_WORD], *(t.split() for t in texts)))
-            at = np.searchsorted(have, np.fromiter(map(word_key, kinds), np.int64, len(kinds)))
-            base_of, known_of = dict(zip(kinds, value[at].tolist(), strict=True)), dict(zip(kinds, known[at].tolist(), strict=True))
-            told_rows = []
+            of_key, _ = _look_up(keys, told.value, rare)
+            frame = pd.DataFrame({"score": np.add.reduceat(of_key[rank], np.cumsum(n) - n), "n_bytes": n})
+            del keys, rank
+            place: dict[bytes, int] = {}
+            at = []
+            size = []
             for t in texts:
                 ws = t.split()
                 ws.append(END_WORD)
-                told_rows.append((len(ws), sum(map(known_of.__getitem__, ws)), total, sum(map(base_of.__getitem__, ws))))
-            frame = pd.DataFrame(told_rows, columns=["n_tokens", "n_known", "train_tokens", "base_score"])
+                size.append(len(ws))
+                at.append(np.fromiter([place.setdefault(w, len(place)) for w in ws], np.int32, len(ws)))
+            base_of, known_of = _look_up(np.fromiter(map(word_key, place), np.int64, len(place)), told.value, rare)
+            at, size = np.concatenate(at), np.array(size)
+            first = np.cumsum(size) - size
             frame.insert(0, id_col, ids.to_pandas())
-            frame["score"], frame["n_bytes"] = sums, n
+            frame["n_tokens"], frame["train_tokens"] = size, total
+            frame["n_known"] = np.add.reduceat(known_of[at].astype(np.int64), first)
+            frame["base_score"] = np.add.reduceat(base_of[at], first)
             parts.append(frame)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
+        names = [c.split()[0] for c in out.split(", ")]
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
     return blobs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, out)
 

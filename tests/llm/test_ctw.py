@@ -80,6 +80,14 @@ def test_equals_definition_and_sums_to_one(spark, monkeypatch):
     assert ctw_score(df.limit(0), df["doc_id"] < 6).count() == 0
 
 
+def test_rare_and_common_keys(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"alpha beta {i} gamma " * 30) for i in range(60)], "doc_id long, text string").repartition(4)
+    want = {r["doc_id"]: r for r in ctw_score(df, df["doc_id"] % 3 > 0).collect()}
+    monkeypatch.setattr(ctw, "COMMON_MOST", 40)
+    got = {r["doc_id"]: r for r in ctw_score(df, df["doc_id"] % 3 > 0).collect()}
+    assert got == want
+
+
 def test_first_byte_is_a_distribution():
     keys = np.array([(BEFORE << 32) | (BEFORE << 24) | (BEFORE << 16) | (BEFORE << 8) | s for s in range(256)], np.int64)
     counts = np.random.default_rng(1).integers(0, 5, 256)

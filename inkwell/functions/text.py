@@ -199,7 +199,7 @@ def sentences(s: pd.Series) -> pd.Series:
 NO_PLURAL = frozenset("bias alias atlas canvas lens news series species always perhaps whereas gas chaos thanks physics mathematics statistics economics linguistics robotics dynamics analytics semantics".split())
 IRREGULAR = {"biases": "bias", "analyses": "analysis", "hypotheses": "hypothesis", "theses": "thesis", "indices": "index", "matrices": "matrix", "vertices": "vertex", "criteria": "criterion", "phenomena": "phenomenon", "corpora": "corpus", "caches": "cache"}
 NO_SUFFIX = frozenset("string thing something anything nothing everything king ring spring during morning evening hundred sacred naked".split())
-_SILENT_E = re.compile(r"(?:[^eo]at|[iy]z|ys|[^aeioul]l|ut|uc|os|[oi]v|ag|[rl][gv]|[nr]c|dg|(?<![aeiou])(?:ur|in|un)|(?<!e)ar|(?<![aeo])id|is|ib|ud)$")
+_SILENT_E = re.compile(r"(?:[^eo]at|[iy]z|ys|(?<!o)od|[^aeioul]l|ut|uc|os|[oi]v|ag|[rl][gv]|[nr]c|dg|(?<![aeiou])(?:ur|in|un)|(?<!e)ar|(?<![aeo])id|is|ib|ud)$")
 
 
 def stem(word: str) -> str:

@@ -194,7 +194,7 @@ def parse_references(entries: DataFrame) -> DataFrame:
     # Sentences of the entry; a full stop after a single capital is an initial.
     pieces = F.filter(F.split(bare, r"(?<![\s.]\p{Lu}|^\p{Lu})\.\s+"), lambda p: F.length(p) > 2)
     title = F.when(quoted != "", quoted).otherwise(F.get(pieces, F.lit(1)))
-    return entries.select("*", F.get(years, F.size(years) - 1).cast("int").alias("year"), F.nullif(F.regexp_extract(raw, r"(?i)arXiv[:\s]*(\d{4}\.\d{4,5})", 1), F.lit("")).alias("arxiv"), F.nullif(F.lower(F.regexp_extract(raw, r"(10\.\d{4,9}/[^\s,;]*[^\s,;.])", 1)), F.lit("")).alias("doi"), F.trim(title).alias("title"), F.trim(F.get(pieces, F.lit(0))).alias("authors"))
+    return entries.select("*", F.get(years, F.size(years) - 1).cast("int").alias("year"), F.nullif(F.regexp_extract(raw, r"(?i)arXiv[:\s]*(\d{4}\.\d{4,5})", 1), F.lit("")).alias("arxiv"), F.nullif(F.lower(F.regexp_extract(raw, r"(10\.\d{4,9}/[^\s,;]*[^\s,;.])", 1)), F.lit("")).alias("doi"), F.regexp_replace(F.trim(title), r"[,.;]+$", "").alias("title"), F.trim(F.get(pieces, F.lit(0))).alias("authors"))
 
 
 def quality(pages: DataFrame) -> DataFrame:

@@ -130,3 +130,52 @@ def consensus_stars(spark, sf):
 @query("accent_folding")
 def accent_folding(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.sha2(F.encode(T.fold_accents(F.coalesce("text", F.lit(""))), "UTF-8"), 256).alias("folded"))
+
+
+def _listed(spark, sf):
+    from inkwell.operators import briefing
+
+    return briefing.bullets(zoned(spark, sf))
+
+
+@query("briefing_bullets")
+def briefing_bullets(spark, sf):
+    return _listed(spark, sf)
+
+
+@query("short_summaries")
+def short_summaries(spark, sf):
+    from inkwell.operators import briefing
+
+    return briefing.short_summary(_listed(spark, sf))
+
+
+@query("follow_ups")
+def follow_ups(spark, sf):
+    from inkwell.operators import briefing
+
+    return briefing.follow_ups(_signals(spark, sf))
+
+
+@query("comparison_rows")
+def comparison_rows(spark, sf):
+    from inkwell.operators import briefing
+
+    s = _signals(spark, sf)
+    return briefing.comparison(_listed(spark, sf), s, review.rigor(s))
+
+
+@query("broadened_queries", "SELECT item_id, nullif(array_to_string(list_filter(string_split_regex(trim(lower(text[1:60])), '\\s+'), lambda x: x <> '' AND x NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'is', 'was', 'are', 'that', 'with', 'for', 'on', 'as', 'by', 'be', 'it', 'this', 'at', 'from', 'or', 'an', 'what', 'when', 'he')), ' '), array_to_string(list_filter(string_split_regex(trim(lower(text[1:60])), '\\s+'), lambda x: x <> ''), ' ')) AS broad FROM benchmark")
+def broadened_queries(spark, sf):
+    from inkwell.operators import briefing
+
+    return load(spark, sf, "benchmark").select("item_id", briefing.broaden(F.substring("text", 1, 60), 1).alias("broad"))
+
+
+@query("self_citation", "SELECT c_nationkey AS doc, CASE WHEN count(*) >= 10 THEN round(sum(CASE WHEN list_contains(['building', 'machinery'], lower(c_mktsegment)) THEN 1 ELSE 0 END) / count(*), 9) END AS rate FROM customer GROUP BY 1")
+def self_citation(spark, sf):
+    from inkwell.operators import briefing
+
+    c = load(spark, sf, "customer").select(F.col("c_nationkey").alias("doc"), F.lower("c_mktsegment").alias("authors"))
+    p = c.select("doc").distinct().withColumn("authors", F.array(F.lit("A Building"), F.lit("B Machinery")))
+    return briefing.self_citation(p, c).withColumn("rate", F.round("rate", 9))

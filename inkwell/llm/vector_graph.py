@@ -9,7 +9,7 @@ verified by cosine in double precision, and recall is audited against brute forc
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import components
@@ -20,8 +20,9 @@ from inkwell.session import load, materialize
 SHARD, OVERLAP, SLACK, DEGREE, ALPHA, BEAM = 600, 4, 1.35, 24, 1.2, 24
 #: Rows that centres are fitted on at most (those with the smallest hashes), and vectors of the audit at most.
 FIT_ROWS, AUDIT_ROWS, SEED = 20_000, 64, 11
-#: A shard beyond this many nodes is split again by its own centres.
-SHARD_MOST = 4096
+#: A shard beyond this many nodes is split again by centres of its own, fitted on up to SPLIT_FIT of its rows and dealt
+#: SPLIT_STEP rows at a time; ROUNDS times at most.
+SHARD_MOST, SPLIT_FIT, SPLIT_STEP, ROUNDS = 4096, 4096, 50_000, 6
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -41,10 +42,10 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def assign(x: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
+def assign(x: np.ndarray, centres: np.ndarray, most: int = OVERLAP) -> list[np.ndarray]:
     """The shards of each row: its nearest centre, and the next ones that are not much farther."""
     out = []
-    k = min(OVERLAP, len(centres))
+    k = min(most, len(centres))
     for i in range(0, len(x), 4096):
         angle = np.arccos(np.clip(x[i : i + 4096] @ centres.T, -1, 1))
         near = np.argpartition(angle, k - 1, axis=1)[:, :k]
@@ -204,6 +205,51 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("audit_recall"))
 
 
+def split_large(flat: DataFrame) -> DataFrame:
+    """flat (a row per node and shard) with no shard beyond SHARD_MOST, and shards as they are then.
+
+    Each round fits centres on a bounded part of every large shard and deals all its rows to them, a bounded group at a
+    time, each to up to two of them."""
+    for _ in range(ROUNDS):
+        big = materialize(flat.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_MOST), "big")
+        if big.isEmpty():
+            return flat
+        rows = flat.join(big, "shard")
+        # A fixed share of the shard's hashes is drawn before the rows are ranked, so that few rows meet in the window.
+        part = rows.where(F.pmod(F.xxhash64("node", F.lit(SEED + 2)), F.col("size")) < 4 * SPLIT_FIT)
+        rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("node", F.lit(SEED + 2))))
+        part = part.withColumn("nth", rank).where(F.col("nth") <= SPLIT_FIT)
+
+        def fit(key, pdf):
+            import pandas as pd
+
+            x = unit_rows(np.array(pdf["v"].tolist(), float))
+            k = min(-(-int(pdf["size"].iloc[0]) // SHARD), max(2, len(x) // 8), 1024)
+            return pd.DataFrame({"shard": [key[0]], "size": [int(pdf["size"].iloc[0])], "centres": [k_means(x, min(k, len(x))).ravel()]})
+
+        centres = part.groupBy("shard").applyInPandas(fit, "shard long, size long, centres array<double>")
+        salts = F.ceil(F.col("size") / SPLIT_STEP).cast("long")
+        centres = materialize(centres.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "split")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(SEED + 3)), salts)).select("shard", "salt", "node", "v")
+
+        def deal(key, left, right):
+            import pandas as pd
+
+            if not len(left) or not len(right):
+                return pd.DataFrame({"shard": [], "node": [], "child": []})
+            x = unit_rows(np.array(left["v"].tolist(), float))
+            own = assign(x, np.array(right["centres"].iloc[0]).reshape(-1, x.shape[1]), 2)
+            n = list(map(len, own))
+            child = (key[0] + 1) * 4096 + np.concatenate(own)
+            return pd.DataFrame({"shard": np.repeat(key[0], sum(n)), "node": np.repeat(left["node"].to_numpy(), n), "child": child})
+
+        got = rows.groupBy("shard", "salt").cogroup(centres.groupBy("shard", "salt")).applyInPandas(deal, "shard long, node long, child long")
+        new = flat.join(got, ["shard", "node"], "left").withColumn("shard", F.coalesce("child", "shard")).drop("child", "shards").distinct()
+        own = new.groupBy("node").agg(F.collect_set("shard").alias("shards"))
+        flat = materialize(new.join(own, "node"), "dealt")
+    return flat
+
+
 def _search(nodes: DataFrame, least: float, spark) -> DataFrame:
     """(node, root, n) of each shard: a node linked in the shard, or itself, and how many rows it links with there
     that no smaller shard of both has."""
@@ -212,14 +258,14 @@ def _search(nodes: DataFrame, least: float, spark) -> DataFrame:
     fit = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("node", F.lit(SEED))).select("v").limit(FIT_ROWS).collect()])
     centres = spark.sparkContext.broadcast(k_means(unit_rows(fit), min(k, max(1, len(fit) // 8))))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def shards(v):
         import pandas as pd
 
         return pd.Series(assign(unit_rows(np.array(v.tolist(), float)), centres.value)) if len(v) else pd.Series([], dtype=object)
 
     dealt = materialize(nodes.withColumn("shards", shards("v")), "dealt")
-    flat = dealt.withColumn("shard", F.explode("shards"))
+    flat = split_large(dealt.withColumn("shard", F.explode("shards")))
 
     def build(key, pdf):
         import pandas as pd

@@ -1,5 +1,6 @@
 import numpy as np
 
+from inkwell.llm import vector_graph
 from inkwell.llm.vector_graph import near_vectors, op5_vector_graph
 
 
@@ -48,3 +49,16 @@ def test_clusters_copies_and_odd_vectors(spark):
     assert np.mean([got[i]["component_id"] == c for i, (_, c) in want.items()]) > 0.98
     assert got[0]["audit_recall"] >= 0.9
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_large_shards_are_split(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD_MOST", 150)
+    monkeypatch.setattr(vector_graph, "SPLIT_STEP", 100)
+    monkeypatch.setattr(vector_graph, "SHARD", 100)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    rows = list(enumerate([(base + rng.normal(size=16) * 0.3).tolist() for _ in range(700)]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want, got = brute(rows), {r["vec_id"]: r for r in near_vectors(df).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+    assert all(got[i]["n_links"] <= n for i, (n, _) in want.items())

@@ -18,8 +18,11 @@ def ascii_lower(col: Column) -> Column:
 
 
 def release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps now instead of at some later collection."""
+    """Lets Spark delete the shuffle files of finished steps now instead of at some later collection.
+
+    Events of finished queries hold their plans until all listeners have seen them."""
     gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark._jvm.System.gc()
 
 

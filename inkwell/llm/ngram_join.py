@@ -121,11 +121,34 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingles(t) for t in b.column(0).to_pylist()]
-        key = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
-        yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+def _bitmap(hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """A one-probe Bloom filter of the hashes (h): log2 of its slots, at most 2**29 (64 MB), and its bytes. Texts that it
+    lets through without need cost time only."""
+    hashes = materialize(hashes, "wanted")
+    log = int(min(29, max(15, np.ceil(np.log2(max(1, hashes.count()) * 64)))))
+    slot = F.shiftrightunsigned("h", 64 - log) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((1 << log) // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        at = (row["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return log, out
+
+
+def _sets(wanted):
+    """(h, text) to (key, s) of the texts whose h the filter knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, bits = wanted.value
+        for b in batches:
+            slot = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - log)).astype(np.int64)
+            hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            for part in range(0, len(hit), 256):
+                sets = [shingles(t) for t in b.column(1).take(pa.array(hit[part : part + 256])).to_pylist()]
+                key = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+
+    return run
 
 
 def shingle_order(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +239,9 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sets_of(keys: DataFrame) -> DataFrame:
         """(key, s): the whole sets of the keys, from the text of one document each."""
         first = rows.groupBy("key").agg(F.min("id").alias("id")).join(keys, "key", "left_semi")
-        texts = own.join(first.select("id"), "id", "left_semi").select("text")
-        return materialize(texts.mapInArrow(_sets, "key long, s array<long>"), "sets")
+        wanted = spark.sparkContext.broadcast(_bitmap(first.select(F.xxhash64("id").alias("h"))))
+        texts = own.select(F.xxhash64("id").alias("h"), "text")
+        return materialize(texts.mapInArrow(_sets(wanted), "key long, s array<long>"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that link."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import answering, mining, quantities, review, structure, zoning
+from inkwell.operators import answering, briefing, mining, quantities, review, structure, zoning
 from inkwell.plans.text_queries import sentence_rows
 from inkwell.session import load, materialize
 
@@ -34,7 +34,8 @@ def key_numbers(spark, sf):
 
 
 def zoned(spark, sf):
-    return zoning.zone_sentences(sentence_rows(spark, sf).withColumn("section_kind", F.lit("other")))
+    z = zoning.zone_sentences(sentence_rows(spark, sf).withColumn("section_kind", F.lit("other")))
+    return materialize(z, "zoned")
 
 
 @query("zoned_sentences")
@@ -133,8 +134,6 @@ def accent_folding(spark, sf):
 
 
 def _listed(spark, sf):
-    from inkwell.operators import briefing
-
     return briefing.bullets(zoned(spark, sf))
 
 
@@ -145,37 +144,31 @@ def briefing_bullets(spark, sf):
 
 @query("short_summaries")
 def short_summaries(spark, sf):
-    from inkwell.operators import briefing
-
     return briefing.short_summary(_listed(spark, sf))
 
 
 @query("follow_ups")
 def follow_ups(spark, sf):
-    from inkwell.operators import briefing
-
     return briefing.follow_ups(_signals(spark, sf))
 
 
 @query("comparison_rows")
 def comparison_rows(spark, sf):
-    from inkwell.operators import briefing
-
     s = _signals(spark, sf)
     return briefing.comparison(_listed(spark, sf), s, review.rigor(s))
 
 
-@query("broadened_queries", "SELECT item_id, nullif(array_to_string(list_filter(string_split_regex(trim(lower(text[1:60])), '\\s+'), lambda x: x <> '' AND x NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'is', 'was', 'are', 'that', 'with', 'for', 'on', 'as', 'by', 'be', 'it', 'this', 'at', 'from', 'or', 'an', 'what', 'when', 'he')), ' '), array_to_string(list_filter(string_split_regex(trim(lower(text[1:60])), '\\s+'), lambda x: x <> ''), ' ')) AS broad FROM benchmark")
-def broadened_queries(spark, sf):
-    from inkwell.operators import briefing
+_DROPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(briefing.FILLERS | T.STOPWORDS))
+_SPLIT = "list_filter(string_split_regex(trim(lower(text[1:60])), '\\s+'), lambda x: x <> '')"
+
 
+@query("broadened_queries", f"WITH k AS (SELECT item_id, {_SPLIT} AS w, list_filter({_SPLIT}, lambda x: x NOT IN ({_DROPPED})) AS kept FROM benchmark) SELECT item_id, CASE WHEN len(kept) > 0 AND len(kept) < len(w) THEN array_to_string(kept, ' ') END AS broad FROM k")
+def broadened_queries(spark, sf):
     return load(spark, sf, "benchmark").select("item_id", briefing.broaden(F.substring("text", 1, 60), 1).alias("broad"))
 
 
 @query("self_citation", "SELECT c_nationkey AS doc, CASE WHEN count(*) >= 10 THEN round(sum(CASE WHEN list_contains(['building', 'machinery'], lower(c_mktsegment)) THEN 1 ELSE 0 END) / count(*), 9) END AS rate FROM customer GROUP BY 1")
 def self_citation(spark, sf):
-    from inkwell.operators import briefing
-
     c = load(spark, sf, "customer").select(F.col("c_nationkey").alias("doc"), F.lower("c_mktsegment").alias("authors"))
     p = c.select("doc").distinct().withColumn("authors", F.array(F.lit("A Building"), F.lit("B Machinery")))
     return briefing.self_citation(p, c).withColumn("rate", F.round("rate", 9))

@@ -3,7 +3,12 @@
 Equal vectors are one node. Nodes are dealt to overlapping cluster shards; each shard builds robust-pruned adjacency
 lists, the lists of a node from all its shards are united, and every node is then searched for in its shards: a
 greedy search from the shard's medoid, expanded for as long as it finds nodes within the range. What is found is
-verified by cosine in double precision, and recall is audited against brute force.
+verified by cosine in double precision.
+
+A dense group larger than a few shards has most of its pairs in no common shard. Nodes that link with any other are
+therefore dealt once more, to cells, and compared in blocks with the nodes of every cell that can hold a partner by
+the geometry of the cells; pairs of a common shard are left to the graph. Recall is audited against brute force, and
+where it is below LEAST_RECALL all nodes are compared in this way.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ FIT_ROWS, AUDIT_ROWS, SEED = 20_000, 64, 11
 #: A shard beyond this many nodes is split again by centres of its own, fitted on up to SPLIT_FIT of its rows and dealt
 #: SPLIT_STEP rows at a time; ROUNDS times at most.
 SHARD_MOST, SPLIT_FIT, SPLIT_STEP, ROUNDS = 4096, 4096, 50_000, 6
+#: Nodes that a cell has on average, that a block of a cell has about and that visit a block in one task about; visitors
+#: compared at a time; audited recall below which all nodes are compared.
+CELL, BLOCK, VISITORS, STEP, LEAST_RECALL = 2048, 4096, 32_768, 512, 0.9
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -181,16 +189,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     named = rows.where("v is not null").withColumn("node", F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)), F.size("v")))
     nodes = materialize(named.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.min("v").alias("v")), "nodes")
     dims = nodes.select(F.size("v").alias("d")).distinct()
-    parts = []
-    for (d,) in dims.orderBy("d").collect():
-        parts.append(_search(nodes.where(F.size("v") == d), least, spark))
-    if not parts:
+    dims = [d for (d,) in dims.orderBy("d").collect()]
+    if not dims:
         lone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
         return lone.select("*", F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
-    linked = parts[0]
-    for p in parts[1:]:
-        linked = linked.unionByName(p)
-    linked = materialize(linked, "linked")
+    linked = materialize(_union([_search(nodes.where(F.size("v") == d), least, spark) for d in dims]), "linked")
+    recall = audit(nodes, linked, least)
+    if recall < LEAST_RECALL:
+        every = nodes.select("node", "v", "copies", F.array().cast("array<long>").alias("shards"))
+        linked = materialize(_union([compare_cells(every.where(F.size("v") == d), least, spark) for d in dims]), "linked")
+        recall = audit(nodes, linked, least)
     edges = linked.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = components(edges)
     degree = linked.groupBy("node").agg(F.sum("n").alias("others"))
@@ -198,13 +206,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     told = materialize(told.withColumn("component", F.coalesce("component", "node")), "told")
     lowest = told.groupBy("component").agg(F.min("low").alias("component_id"))
     told = told.join(lowest, "component").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    recall = audit(nodes, linked, least)
     out = named.select("id", "node").join(told, "node").select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = out.union(alone)
     return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("audit_recall"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def split_large(flat: DataFrame) -> DataFrame:
     """flat (a row per node and shard) with no shard beyond SHARD_MOST, and shards as they are then.
 
@@ -305,7 +319,113 @@ def _search(nodes: DataFrame, least: float, spark) -> DataFrame:
         return pd.DataFrame({"node": ids, "root": ids[roots], "n": np.array(n, np.int64)})
 
     ready = flat.join(united, "node").select("shard", "node", "v", "near", "copies", "shards")
-    return ready.groupBy("shard").applyInPandas(search, "node long, root long, n long")
+    linked = materialize(ready.groupBy("shard").applyInPandas(search, "node long, root long, n long"), "linked")
+    some = linked.where("n > 0").select("node").distinct()
+    dense = flat.where(F.col("shard") == F.array_min("shards")).select("node", "v", "copies", "shards").join(some, "node", "left_semi")
+    return linked.unionByName(compare_cells(dense, least, spark))
+
+
+def compare_block(r_node, r_raw, r_copies, r_shards, v_node, v_raw, v_copies, v_shards, same, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, roots, n) of residents r and visitors v of a block: their links of no common shard, in double precision.
+
+    same: for each visitor whether the block belongs to its own cell; such a pair counts once, by the order of nodes."""
+    r_norm, v_norm = (np.sqrt((x * x).sum(1)) for x in (r_raw, v_raw))
+    r_n, v_n = np.zeros(len(r_node)), np.zeros(len(v_node))
+    nodes = np.unique(np.concatenate([r_node, v_node]))
+    r_at, v_at = np.searchsorted(nodes, r_node), np.searchsorted(nodes, v_node)
+    label = np.arange(len(nodes))
+    for first in range(0, len(v_node), STEP):
+        part = slice(first, first + STEP)
+        hit = (v_raw[part] @ r_raw.T) / (v_norm[part, None] * r_norm) >= least
+        hit &= ~same[part, None] | (v_node[part, None] > r_node)
+        if not hit.any():
+            continue
+        for a in range(v_shards.shape[1]):
+            for b in range(r_shards.shape[1]):
+                hit &= (v_shards[part, a, None] != r_shards[:, b]) | (v_shards[part, a, None] < 0)
+        weight = hit.astype(float)
+        v_n[part] += weight @ r_copies
+        r_n += v_copies[part] @ weight
+        for i in np.flatnonzero(hit.any(1)):
+            met = np.unique(np.append(label[r_at[hit[i]]], label[v_at[first + i]]))
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+    n = np.bincount(r_at, r_n, len(nodes)) + np.bincount(v_at, v_n, len(nodes))
+    own = np.flatnonzero(n)
+    return nodes[own], nodes[label[own]], n[own].astype(np.int64)
+
+
+def compare_cells(rows: DataFrame, least: float, spark) -> DataFrame:
+    """(node, root, n) of the links of no common shard among rows (node, v, copies, shards), none of them lost.
+
+    Each node belongs to the cell of its nearest centre and visits the cells that can hold a node within the range: its
+    distance from the plane between two cells is at most the range's, and so is its distance from the ball of the
+    other cell. Of two cells only one's nodes visit the other."""
+    rows = materialize(rows, "cells")
+    total = rows.count()
+    if not total:
+        return rows.select("node", F.col("node").alias("root"), F.col("copies").alias("n"))
+    fit = unit_rows(np.array([r["v"] for r in rows.orderBy(F.xxhash64("node", F.lit(SEED))).select("v").limit(FIT_ROWS).collect()]))
+    centres = k_means(fit, min(-(-total // CELL), max(1, len(fit) // 8)))
+    told = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("struct<cell:long,angle:double>")
+    def home(v):
+        import pandas as pd
+
+        near = unit_rows(np.array(v.tolist(), float)) @ told.value.T if len(v) else np.zeros((0, 1))
+        return pd.DataFrame({"cell": near.argmax(1), "angle": np.arccos(np.clip(near.max(1), -1, 1))})
+
+    rows = materialize(rows.withColumn("h", home("v")).select("*", "h.cell", "h.angle").drop("h"), "homes")
+    sizes, radius = np.zeros(len(centres), np.int64), np.full(len(centres), -10.0)
+    for cell, size, angle in rows.groupBy("cell").agg(F.count("*"), F.max("angle")).collect():
+        sizes[cell], radius[cell] = size, angle
+    reach, sine = np.arccos(np.clip(least, -1, 1)), np.sqrt(1 - least * least) if least >= 0 else 1.0
+    balls = spark.sparkContext.broadcast(radius)
+
+    @F.pandas_udf("array<long>")
+    def visits(v, cell):
+        import pandas as pd
+
+        if not len(v):
+            return pd.Series([], dtype=object)
+        c, own = told.value, cell.to_numpy()
+        near = unit_rows(np.array(v.tolist(), float)) @ c.T
+        # Squared gaps between centres by cosines of units; a centre's own length is one.
+        gap = np.sqrt(np.maximum((c[own] ** 2).sum(1)[:, None] + (c**2).sum(1) - 2 * c[own] @ c.T, 0))
+        fits = near.max(1)[:, None] - near <= sine * gap + 1e-7
+        fits &= np.arccos(np.clip(near, -1, 1)) <= balls.value + reach + 1e-7
+        at = np.arange(len(c))
+        turn = ((own[:, None] + at) % 2 == 0) == (own[:, None] < at)
+        return pd.Series([np.flatnonzero(x) for x in (fits & turn) | (own[:, None] == at)])
+
+    rows = materialize(rows.withColumn("visits", visits("v", "cell")).drop("angle"), "visits")
+    came = {c: n for c, n in rows.select(F.explode("visits").alias("c")).groupBy("c").count().collect()}
+    told_cells = [(int(c), max(1, -(-int(n) // BLOCK)), max(1, -(-came.get(c, 0) // VISITORS))) for c, n in enumerate(sizes) if n]
+    cells = F.broadcast(spark.createDataFrame(told_cells, "cell long, salts long, parts long"))
+    salted = F.pmod(F.xxhash64("node", F.lit(SEED + 4)), "salts").alias("salt")
+    residents = rows.join(cells, "cell").select("cell", salted, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "node", "v", "copies", "shards")
+    # New names, so that the two sides of the cogroup are told apart.
+    visitors = rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumnRenamed("cell", "own").withColumn("cell", F.explode("visits")).join(cells, "cell")
+    chunk = F.pmod(F.xxhash64("node", F.lit(SEED + 5)), "parts").alias("part")
+    visitors = visitors.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), chunk, "node", "v", "copies", "shards", (F.col("own") == F.col("cell")).alias("same"))
+
+    def compare(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"node": [], "root": [], "n": []})
+        sides = []
+        for pdf in (left, right):
+            shards = np.full((len(pdf), max(1, max(map(len, pdf["shards"])))), -1, np.int64)
+            for i, own in enumerate(pdf["shards"]):
+                shards[i, : len(own)] = own
+            sides += [pdf["node"].to_numpy(), np.array(pdf["v"].tolist(), float), pdf["copies"].to_numpy(float), shards]
+        node, root, n = compare_block(*sides, right["same"].to_numpy(bool), least)
+        return pd.DataFrame({"node": node, "root": root, "n": n})
+
+    keys = ["cell", "salt", "part"]
+    return residents.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInPandas(compare, "node long, root long, n long")
 
 
 def audit(nodes: DataFrame, linked: DataFrame, least: float) -> float:

@@ -62,3 +62,30 @@ def test_large_shards_are_split(spark, monkeypatch):
     want, got = brute(rows), {r["vec_id"]: r for r in near_vectors(df).collect()}
     assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(n for n, _ in want.values())
     assert all(got[i]["n_links"] <= n for i, (n, _) in want.items())
+
+
+def test_group_beyond_its_shards_loses_no_links(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    monkeypatch.setattr(vector_graph, "CELL", 150)
+    monkeypatch.setattr(vector_graph, "BLOCK", 100)
+    monkeypatch.setattr(vector_graph, "VISITORS", 200)
+    monkeypatch.setattr(vector_graph, "LEAST_RECALL", 0.0)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=32)
+    rows = [(base + rng.normal(size=32) * 0.14).tolist() for _ in range(900)] + rng.normal(size=(900, 32)).tolist()
+    rows = list(enumerate(rows + rows[:50]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want, got = brute(rows), {r["vec_id"]: r for r in near_vectors(df).collect()}
+    assert all(got[i]["n_links"] <= n for i, (n, _) in want.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * sum(n for n, _ in want.values())
+    assert np.mean([got[i]["component_id"] == c for i, (_, c) in want.items()]) > 0.99
+
+
+def test_low_recall_compares_all_nodes(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "LEAST_RECALL", 1.1)
+    monkeypatch.setattr(vector_graph, "CELL", 100)
+    rng = np.random.default_rng(6)
+    rows = list(enumerate((np.repeat(rng.normal(size=(60, 16)), 10, 0) + rng.normal(size=(600, 16)) * 0.2).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
+    assert got == brute(rows)

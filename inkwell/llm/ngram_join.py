@@ -6,10 +6,11 @@ enumerate all two-element subsets of such a prefix (k = 2); heavy ones, and ligh
 scan the inverted lists of theirs and must meet SCANNED times (k = SCANNED). The boundary is where the estimated cost
 of both together is least.
 
-Links are needed up to connectivity, so no list emits all its pairs: each set is first compared with the head it
-meets most often, components form, and then only pairs of a list that lie in different components are compared.
-Every candidate is verified on whole sets, so no link between different texts is lost and none is invented (shingles
-and sets are told apart by 64-bit and 128-bit hashes).
+Components need links up to connectivity only, so no list emits all its pairs: each set is first compared with the
+head it meets most often, components form, and then only pairs of a list that lie in different components are compared.
+Linked sets lie in one component, so the links themselves are counted afterwards by comparing all sets of a component
+with one another, in blocks. All is verified on whole sets, so no link between different texts is lost and none is
+invented (shingles and sets are told apart by 64-bit and 128-bit hashes).
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ WORDS, NUM, DEN = 5, 4, 5
 CHUNK, ORDER_MOST, BOUNDARY_MOST = 1 << 22, 1 << 20, 200
 #: Lists in which a pair with a heavy set must meet; sets below four shingles have no unequal partner.
 SCANNED = 4
+#: Shingles of a block of a component's sets, about.
+BLOCK = 1 << 17
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -179,6 +182,31 @@ def choose_boundary(sizes: list[tuple[int, int, int]], spread: int) -> int:
     return at
 
 
+def count_links(key, pdf):
+    """(key, links) of sets (key, s, copies, salt) of one pair of blocks of a component: how many rows of other sets each
+    links with; those of one block only where the pair is one block."""
+    import pandas as pd
+
+    sets, copies, salt = pdf["s"].tolist(), pdf["copies"].to_numpy(float), pdf["salt"].to_numpy()
+    sizes = np.array(list(map(len, sets)))
+    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+    starts = np.cumsum(many) - many
+    ends = np.cumsum(sizes)
+    links = np.zeros(len(sets), np.int64)
+    for i, n in enumerate(sizes):
+        own = at[ends[i] - n : ends[i]]
+        width = many[own]
+        place = np.arange(width.sum()) + np.repeat(starts[own] - (np.cumsum(width) - width), width)
+        both = np.bincount(owners[place], minlength=len(sets))
+        hit = both * 100 >= (n + sizes - both) * 80
+        hit[i] = False
+        if key[1] != key[2]:
+            hit &= salt != salt[i]
+        links[i] = int(copies[hit].sum())
+    return pd.DataFrame({"key": pdf["key"], "links": links})
+
+
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, links_verified.
 
@@ -186,7 +214,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest id reachable by links, itself included. Equal sets link as one class. Null, empty and all-blank texts
     have the empty set and link with nothing; a text of one to four words is one shingle. Repeated rows share their
     class. Very long texts are read whole, ties of the order go by hash, other columns are not read, and an empty
-    table gives an empty result. links_verified counts the class's verified links to other classes.
+    table gives an empty result. links_verified counts the other rows that a row links with, equal
+    sets included.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -279,7 +308,22 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = links.union(verify(cross))
     found = components(links)
 
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("key")).agg(F.count("*").alias("links_verified"))
+    # The links of each set. Both sets of a component of two link; others are compared block by block.
+    found = materialize(found, "found")
+    copies = rows.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("copies"))
+    members = found.select(F.col("id").alias("key"), "component").join(copies, "key")
+    totals = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("copies").alias("total"), F.sum("n").alias("width"))
+    members = materialize(members.join(totals, "component"), "members")
+    salts = F.ceil(F.col("width") / BLOCK).cast("long")
+    several = members.where("m > 2").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("key"), "salts"))
+    sets = sets_of(several.select("key")).dropDuplicates(["key"])
+    blocks = several.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    blocks = blocks.select("component", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "key", "s", "copies", "salt")
+    counted = blocks.groupBy("component", "low", "high").applyInPandas(count_links, "key long, links long")
+    counted = materialize(counted.union(members.where("m = 2").select("key", F.col("total") - F.col("copies"))), "counted")
+    release(spark)
+    degree = copies.join(counted.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
+    degree = degree.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_verified"))
     placed = rows.groupBy("key", "n").agg(F.min("id").alias("low")).join(found.withColumnRenamed("id", "key"), "key", "left")
     placed = placed.withColumn("component", F.coalesce("component", "key"))
     lowest = placed.where("n > 0").groupBy("component").agg(F.min("low").alias("component_id"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+from inkwell.llm import ngram_join
 from inkwell.llm.ngram_join import choose_boundary, ngram_classes, op7_ngram_jaccard
 
 
@@ -67,3 +68,15 @@ def test_empty_and_repeated(spark):
 
 def test_boundary_follows_cost():
     assert choose_boundary([(n, 100, 0) for n in range(4, 100)], 4) < choose_boundary([(n, 100, 100_000) for n in range(4, 100)], 4)
+
+
+def test_links_inside_a_component_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 500)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{j}"] + base[k + 1 :]) for j, k in enumerate(rng.choices(range(60), k=30))]
+    rows = list(enumerate(texts + texts[:4] + ["p q r s t u v w", "p q r s t u v w", "lone text here", None, ""]))
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for i, t in rows}
+    want = {i: sum(i != j and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["links_verified"] for r in ngram_classes(df).collect()} == want

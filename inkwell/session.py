@@ -43,15 +43,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    own = spark.sparkContext.getCheckpointDir()
+    """The folder shared by driver and executors: spark.checkpoint.dir. Where it is unset, a local session, whose driver and
+    executors are one process, gets a temporary one, and any other session an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
-    if own is None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkwell-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -59,15 +60,47 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/inkwell/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Spark deletes the shuffle files of a query when it ends; nothing reads them after a table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
     """Write once, read back: the shared-storage cut of a lineage. Rows survive the loss of executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """A written table at a fresh scratch path, for callers that keep it; operators use Scratch."""
+    return write_table(df, scratch_path(df.sparkSession, tag))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+class Scratch:
+    """The written tables of one operator's run, deleted after their last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a written table; a tag that is used again does not delete the table before."""
+        path = scratch_path(self.spark, tag)
+        self.paths.setdefault(tag, []).append(path)
+        return write_table(df, path)
+
+    def drop(self, *tags: str, but: str | None = None) -> None:
+        """Delete the tables of the tags, or, without tags, all but those of one tag."""
+        for tag in tags or [t for t in self.paths if t != but]:
+            for path in self.paths.pop(tag, []):
+                remove(self.spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -128,43 +129,41 @@ def finding_key(c: Column) -> Column:
 
 # Sentences.
 
-#: Abbreviations: never before a sentence's end; only before a label; only before a typical opener.
-NEVER, LABEL, MAYBE = (
-    frozenset("e.g i.e cf vs viz approx resp incl esp ca fig figs eq eqs sec secs tab alg thm dr mr mrs ms prof jr".split()),
-    frozenset("no nos p pp vol ch app ref refs ex def art pt ed jan feb mar apr jun jul aug sep sept oct nov dec".split()),
-    frozenset("etc inc ltd co corp univ dept st".split()),
-)
-OPENERS = STOPWORDS | frozenset("however finally first second third specifically notably overall note similarly instead table figure section results unlike despite given using recent prior".split())
-LABELLED = frozenset("appendix section table figure part phase stage type case model method variant step task group level class version experiment algorithm".split())
-_END = re.compile(r"([.!?]+)([\"'”’)\]]*)(\d{1,2}(?:,\d{1,2})*)?(\s+)")
+#: Short forms whose full stop never ends a sentence: they announce what follows. All other short forms are told by what
+#: follows them.
+ANNOUNCING = frozenset("eg ie cf vs viz approx ca dr mr mrs ms prof fig figs eq eqs sec secs tab alg thm".split())
+#: Short forms that stand inside sentences as well as at their end.
+EITHER = frozenset("al etc inc ltd co corp univ dept st jr no nos vol ch app ref refs ed pp resp est max min avg".split())
+OPENING, CLOSING = "\"'“‘([{", "\"'”’)]}"
+_TAIL = re.compile(rf"([.!?…]+)([{re.escape(CLOSING)}]*)(\d{{0,2}})$")
+_HARD = re.compile(r"\n[^\S\n]*\n|[•●▪◦‣∙]")
+_ITEM = re.compile(r"(?:[-–—*]|\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)])\s+")
 
 
-def _ends_sentence(head: str, marks: str, closers: str, note: str, following: str) -> bool:
-    if not re.match(r"[\"'“‘(\[]*(?:\d|[^\W\d_])", following):
-        return False
-    opener = following.lstrip("\"'“‘([")
-    if opener and not (opener[0].isdigit() or opener[0].isupper()):
+def _may_open(token: str) -> bool:
+    """A sentence opens with a capital, a script without case, or a digit, behind any opening marks."""
+    bare = token.lstrip(OPENING)
+    return bool(bare) and bare[0].isalnum() and not bare[0].islower()
+
+
+def _closes(token: str, following: str, first: bool) -> bool:
+    """Whether a sentence ends after token, when following comes next; first: nothing of it stands before token."""
+    tail = _TAIL.search(token)
+    if not tail or not _may_open(following):
         return False
-    if note and not (head[-1:].isalpha() or head[-1:] in ")]"):
+    core = token[: tail.start()].strip(OPENING + CLOSING)
+    stops, closers, note = tail.groups()
+    if note and not core[-1:].isalpha():
         return False
-    if "." not in marks or closers:
+    if closers or set(stops) != {"."}:
         return True
-    spoken = head.split()
-    token = spoken[-1].lstrip("\"'“‘([") if spoken else ""
-    before = spoken[-2] if len(spoken) > 1 else ""
-    low = token.lower()
-    typical = opener[:1].isupper() and re.sub(r"\W+$", "", opener.lower()) in OPENERS
-    if low in NEVER:
+    if first and (core.isdigit() or len(core) == 1):
         return False
-    if low in LABEL:
-        return not re.match(r"[(\[]?(?:\d|[IVX]+\b|[A-Z](?:$|[\d.)\],;:]))", following)
-    if low in MAYBE or (low == "al" and before.lower() == "et") or re.fullmatch(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]{1,3}", token):
-        return typical
-    if len(token) == 1 and token.isupper():
-        return before.lower() in LABELLED or typical
-    if re.fullmatch(r"\d{1,2}", token):
-        known = re.sub(r"\.$", "", before.lower())
-        return not (before == "" or before[-1] in ":;" or (before.endswith(".") and known not in NEVER | LABEL | MAYBE))
+    bare = core.replace(".", "").lower()
+    if bare in ANNOUNCING:
+        return False
+    if bare in EITHER or "." in core and len(bare) <= 4 and bare.isalpha() or len(core) == 1 and core.isupper():
+        return following.strip(OPENING + CLOSING + ",;:").lower() in STOPWORDS
     return True
 
 
@@ -172,19 +171,15 @@ def split_sentences(text: str | None) -> list[str]:
     """Sentences of 25 characters or more. Blank lines and bullets are hard ends; abbreviations, initials, list numbers
     and footnote marks are not."""
     out: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", text or ""):
-        flat = " ".join(unicodedata.normalize("NFKC", paragraph).split())
-        for block in re.split(r"\s*[•●▪◦‣∙]\s*", flat):
-            start = 0
-            cuts = []
-            for m in _END.finditer(block):
-                if m.end() < len(block) and _ends_sentence(block[start : m.start()], m[1], m[2], m[3] or "", block[m.end() :].split(None, 1)[0]):
-                    cuts.append(block[start : m.end(2)])
-                    start = m.end()
-            for s in (*cuts, block[start:]):
-                s = re.sub(r"^(?:\(?\d{1,2}[.)]|\(?[ivx]{1,4}\)|[-–*])\s+", "", s).strip()
-                if len(s) >= MIN_SENTENCE:
-                    out.append(s)
+    for block in _HARD.split(text or ""):
+        tokens = unicodedata.normalize("NFKC", block).split()
+        start = 0
+        for i in range(len(tokens)):
+            if i + 1 == len(tokens) or (tokens[i][-1] in ".!?…0123456789" + CLOSING and _closes(tokens[i], tokens[i + 1], i == start)):
+                line = _ITEM.sub("", " ".join(tokens[start : i + 1]), count=1) if _ITEM.match(tokens[start] + " ") else " ".join(tokens[start : i + 1])
+                if len(line) >= MIN_SENTENCE:
+                    out.append(line)
+                start = i + 1
     return out
 
 
@@ -193,46 +188,86 @@ def sentences(s: pd.Series) -> pd.Series:
     return s.map(split_sentences)
 
 
-# Stems.
+# Stems: Porter's published algorithm of 1980. Its suffixes are fixed values.
+
+_STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
-#: Words that only look inflected, and plurals without a rule. Fixed values.
-NO_PLURAL = frozenset("bias alias atlas canvas lens news series species always perhaps whereas gas chaos thanks physics mathematics statistics economics linguistics robotics dynamics analytics semantics".split())
-IRREGULAR = {"biases": "bias", "analyses": "analysis", "hypotheses": "hypothesis", "theses": "thesis", "indices": "index", "matrices": "matrix", "vertices": "vertex", "criteria": "criterion", "phenomena": "phenomenon", "corpora": "corpus", "caches": "cache"}
-NO_SUFFIX = frozenset("string thing something anything nothing everything king ring spring during morning evening hundred sacred naked".split())
-_SILENT_E = re.compile(r"(?:[^eo]at|[iy]z|ys|(?<!o)od|[^aeioul]l|ut|uc|os|[oi]v|ag|[rl][gv]|[nr]c|dg|(?<![aeiou])(?:ur|in|un)|(?<!e)ar|(?<![aeo])id|is|ib|ud)$")
+
+def _shape(w: str) -> str:
+    """c and v of the letters of a word: y is a vowel behind a consonant."""
+    out = ""
+    for ch in w:
+        out += "v" if ch in "aeiou" or (ch == "y" and out[-1:] == "c") else "c"
+    return out
 
 
+def _measure(w: str) -> int:
+    return len(re.findall("v+c", _shape(w)))
+
+
+def _short(w: str) -> bool:
+    return len(w) > 2 and _shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
+
+
+def _swap(w: str, table: dict[str, str], least: int) -> str:
+    """The longest suffix of the table is replaced where what is left of it measures more than least."""
+    for k in sorted((k for k in table if w.endswith(k)), key=len, reverse=True)[:1]:
+        if _measure(w[: -len(k)]) > least:
+            return w[: -len(k)] + table[k]
+    return w
+
+
+@lru_cache(1 << 17)
 def stem(word: str) -> str:
-    """Singular, then without -ing or -ed where a stem of four letters with a vowel remains."""
+    """Porter stem of a lower-case word; words of other letters than a-z stay."""
     w = word
-    if len(w) > 3 and w not in NO_PLURAL:
-        if w in IRREGULAR:
-            w = IRREGULAR[w]
-        elif w.endswith("ies") and len(w) > 4:
-            w = w[:-3] + "y"
-        elif re.search(r"(?:ss|x|ch|sh)es$", w):
-            w = w[:-2]
-        elif w.endswith("s") and not re.search(r"(?:ss|us|is|'s)$", w):
-            w = w[:-1]
-    if w in NO_SUFFIX:
-        return w
-    if w.endswith("ied") and len(w) > 5:
-        return w[:-3] + "y"
-    root = w[:-3] if w.endswith("ing") else w[:-2] if w.endswith("ed") and not w.endswith("eed") else None
-    if root is None or len(root) < 4 or not re.search("[aeiouy]", root):
+    if len(w) <= 2 or not (w.isascii() and w.isalpha()):
         return w
-    if re.search(r"([b-df-hj-kmnp-rtv-y])\1$", root):
-        return root[:-1]
-    return root + "e" if _SILENT_E.search(root) else root
+    w = _swap(w, {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}, -1)
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        for k in ("ed", "ing"):
+            if w.endswith(k) and "v" in _shape(w[: -len(k)]):
+                w = w[: -len(k)]
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c" and w[-1] not in "lsz":
+                    w = w[:-1]
+                elif _measure(w) == 1 and _short(w):
+                    w += "e"
+                break
+    if w.endswith("y") and "v" in _shape(w[:-1]):
+        w = w[:-1] + "i"
+    w = _swap(_swap(w, _STEP2, 0), _STEP3, 0)
+    ends = sorted((k for k in _STEP4 if w.endswith(k)), key=len, reverse=True)
+    if ends and (root := w[: -len(ends[0])]) and _measure(root) > 1 and (ends[0] != "ion" or root[-1] in "st"):
+        w = root
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+
+
+@lru_cache(1 << 17)
+def _term(word: str) -> str | None:
+    """The stem of a word as it stands in a text; none of a function word or a single character."""
+    low = word.lower().replace("’", "'").removesuffix("'s")
+    return stem(low) if len(low) > 1 and low not in STOPWORDS else None
 
 
 def tokenize_text(text: str | None) -> list[str]:
-    found = re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", unicodedata.normalize("NFKC", text or ""))
-    low = (re.sub(r"'s$", "", w.lower().replace("’", "'")) for w in found)
-    return [stem(w) for w in low if len(w) > 1 and w not in STOPWORDS]
+    return [k for w in _WORD.findall(unicodedata.normalize("NFKC", text or "")) if (k := _term(w))]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def tokenize(s: pd.Series) -> pd.Series:
-    """Stemmed content words in order."""
+    """Stemmed content words in order; each distinct word is stemmed once a worker."""
     return s.map(tokenize_text)

@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/inkwell/{tag}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system: that of Hadoop's default one where it has none."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 #: Spark deletes the shuffle files of a query when it ends; nothing reads them after a table is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

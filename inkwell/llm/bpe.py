@@ -172,8 +172,9 @@ class Codec:
     """Encoder and decoder over a file of ranks, with a cache of merged pieces.
 
     The cache is direct-mapped: pieces of up to 16 bytes are two machine words and a length, their slot holds the
-    place of their ids in a pool, and a newer piece takes an older one's slot; both have a fixed size. Longer pieces
-    are merged each time they occur in a batch. other_merge: another way to merge one piece.
+    place of their ids in a pool, and a newer piece takes an older one's slot; both have a fixed size. The ids of longer
+    pieces, and of those that find the pool full, are held for the batch alone. other_merge: another way to merge one
+    piece.
     """
 
     SLOTS, POOL = 20, 1 << 23
@@ -258,18 +259,25 @@ class Codec:
         pool = self.pool
         if len(miss):
             got: dict[bytes, tuple[int, int]] = {}
+            beside: list[int] = []
             merge = self.merge_one
             for i, a, b, fits in zip(miss.tolist(), start[miss].tolist(), end[miss].tolist(), small[miss].tolist(), strict=True):
                 piece = data[a:b]
                 if (at := got.get(piece)) is None:
                     ids = merge(piece)
-                    at = got[piece] = (self.used, len(ids))
-                    self.pool[self.used : self.used + len(ids)] = ids
-                    self.used += len(ids)
-                    if fits:
+                    if fits and self.used + len(ids) <= self.POOL:
+                        at = (self.used, len(ids))
+                        self.pool[self.used : self.used + len(ids)] = ids
+                        self.used += len(ids)
                         s = slot[i]
                         self.low[s], self.high[s], self.long[s], self.place[s], self.count[s] = low[i], high[i], b - a, at[0], at[1]
+                    else:
+                        at = (self.POOL + len(beside), len(ids))
+                        beside += ids
+                    got[piece] = at
                 place[i], count[i] = at
+            if beside:
+                pool = np.concatenate([pool, np.array(beside, np.int32)])
         total = np.cumsum(count)
         ids = pool.take(np.repeat(place - (total - count), count) + np.arange(total[-1] if len(total) else 0))
         bounds = np.append(0, np.cumsum(pieces))

@@ -1,4 +1,5 @@
 import base64
+import random
 
 import public_tokenizers
 import pytest
@@ -50,3 +51,13 @@ def test_edges(spark):
     got = sorted((r["doc_id"] or 0, len(r["ids"]), list(r["piece_ends"])) for r in bpe_encode(df, PATH).collect())
     assert got == [(0, 0, []), (1, 0, []), (2, 2, [1, 3]), (2, 2, [1, 3])]
     assert bpe_encode(df.limit(0), PATH).count() == 0
+
+
+def test_text_beyond_the_pool(monkeypatch):
+    monkeypatch.setattr(Codec, "POOL", 1 << 12)
+    own, rng = Codec(PATH), random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(2, 24))) for _ in range(3000)) for _ in range(2)]
+    for _ in range(2):
+        for t, (ids, _) in zip(texts, own.encode_batch(texts), strict=True):
+            assert ids.tolist() == THEIRS.encode_ordinary(t)
+    assert own.used <= own.POOL

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.session import load, materialize
+from inkwell.session import Scratch, load, materialize
 
 #: Marks of the template. A text's backslashes are doubled and its "<|" becomes "<\|", so a mark is never part of a text.
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "\n"
@@ -25,44 +25,66 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def escape_role(c: Column) -> Column:
+    """A role as it stands in the template, whose role line ends at the first line break: one inside becomes "<\\n"."""
+    return F.replace(escape(c), F.lit("\n"), F.lit("<\\n"))
+
+
+def unescape_role(c: Column) -> Column:
+    """Inverse of escape_role: a "<" before a single backslash and an n stands only where a line break was."""
+    return unescape(F.replace(c, F.lit("<\\n"), F.lit("\n")))
+
+
 def branches(messages: DataFrame, keep: int | None = None) -> DataFrame:
     """Root-to-leaf paths of reply trees: tree, leaf, path (ids from the root), branch_score (mean), branch_rank.
 
     messages: tree, id, parent (null at a root), score; (tree, id) unique. keep: the best branches of a tree that
     stay, all where None. Ties of score go to the smaller leaf id. A parent that is not there makes its child a
     root; messages on a cycle, or below one, reach no root and give no path.
+
+    Round k joins the pointers to the ancestor 2**k steps up with themselves, so a message carries one pointer, one count
+    and one sum however long its path is. The chosen leaves then gather their ancestors, again doubling, so the rows
+    are those of the paths that come out.
     """
+    scratch = Scratch(messages.sparkSession)
     m = messages.select("tree", "id", "parent", "score")
     known = m.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
     m = m.join(known, ["tree", "parent"], "left")
-    up = m.select(
-        "tree", F.col("id").alias("leaf"), F.when(F.col("there"), F.col("parent")).alias("up"),
-        F.array("id").alias("path"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"),
-    )
+    up = m.select("tree", F.col("id").alias("leaf"), F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
     size = messages.groupBy("tree").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    for _ in range(max(1, int(size)).bit_length()):
-        up = materialize(up, "paths")
-        if up.where("up is not null").isEmpty():
+    jumps = []
+    for k in range(max(1, int(size)).bit_length() + 1):
+        up = scratch.keep(up, f"up{k}")
+        jump = up.where("up is not null")
+        if jump.isEmpty():
             break
-        above = up.select("tree", F.col("leaf").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("total").alias("more"))
-        done = up.where("up is null")
-        more = up.where("up is not null").join(above, ["tree", "up"])
-        more = more.select("tree", "leaf", F.col("next").alias("up"), F.concat("head", "path").alias("path"), (F.col("total") + F.col("more")).alias("total"))
-        up = done.unionByName(more)
+        jumps.append(jump.select("tree", F.col("leaf").alias("node"), "up"))
+        above = up.select("tree", F.col("leaf").alias("up"), F.col("up").alias("next"), F.col("steps").alias("far"), F.col("total").alias("more"))
+        more = jump.join(above, ["tree", "up"])
+        more = more.select("tree", "leaf", F.col("next").alias("up"), (F.col("steps") + F.col("far")).alias("steps"), (F.col("total") + F.col("more")).alias("total"))
+        up = up.where("up is null").unionByName(more)
     parents = m.where("there").select("tree", F.col("parent").alias("leaf"))
     leaves = up.where("up is null").join(parents, ["tree", "leaf"], "left_anti")
-    score = (F.col("total") / F.size("path")).alias("branch_score")
-    out = leaves.select("tree", "leaf", "path", score)
+    leaves = leaves.select("tree", "leaf", (F.col("total") / F.col("steps")).alias("branch_score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf"))
-    out = out.withColumn("branch_rank", rank)
-    return out if keep is None else out.where(F.col("branch_rank") <= keep)
+    chosen = leaves.withColumn("branch_rank", rank)
+    chosen = scratch.keep(chosen if keep is None else chosen.where(F.col("branch_rank") <= keep), "chosen")
+    steps = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("far"))
+    for k, jump in enumerate(jumps):
+        over = steps.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("far") + (1 << k)).alias("far"))
+        steps = scratch.keep(steps.unionByName(over), f"steps{k}")
+        scratch.drop(f"steps{k - 1}")
+    down = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("far")).alias("at"), "node"))), lambda x: x.node)
+    paths = scratch.keep(steps.groupBy("tree", "leaf").agg(down.alias("path")).join(chosen, ["tree", "leaf"]), "paths")
+    scratch.drop(but="paths")
+    return paths.select("tree", "leaf", "path", "branch_score", "branch_rank")
 
 
 def format_branches(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """tree, leaf, formatted, loss_spans: array of (start, length) in code points of formatted, one per assistant text."""
     steps = paths.select("tree", "leaf", F.posexplode("path").alias("pos", "id"))
     told = steps.join(messages.select("tree", "id", "role", "text"), ["tree", "id"])
-    role = escape(F.coalesce("role", F.lit("")))
+    role = escape_role(F.coalesce("role", F.lit("")))
     body = escape(F.coalesce("text", F.lit("")))
     turn = F.struct("pos", role.alias("role"), body.alias("body"), (F.col("role") == "assistant").alias("loss"))
     turns = told.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -87,7 +109,7 @@ def read_back(formatted: Column) -> Column:
 
     def one(p: Column) -> Column:
         p = F.substring(p, F.lit(1), F.length(p) - F.lit(len(END)))
-        return F.struct(unescape(F.regexp_extract(p, r"(?s)^([^\n]*)\n", 1)).alias("role"), unescape(F.regexp_replace(p, r"(?s)^[^\n]*\n", "")).alias("text"))
+        return F.struct(unescape_role(F.regexp_extract(p, r"(?s)^([^\n]*)\n", 1)).alias("role"), unescape(F.regexp_replace(p, r"(?s)^[^\n]*\n", "")).alias("text"))
 
     return F.transform(pieces, one)
 
@@ -101,11 +123,9 @@ def linear_messages(conversations: DataFrame) -> DataFrame:
     """Conversations by turn as reply trees of one branch: each turn answers the one before.
 
     Turns are numbered anew by (turn, role, text), nulls first, so repeated and null turns have a defined place.
-    A line break in a role becomes a space, as the template ends the role by one.
     """
     w = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    role = F.translate(F.coalesce("role", F.lit("")), "\n", " ").alias("role")
-    m = conversations.select(F.col("conv_id").alias("tree"), "turn", role, "text")
+    m = conversations.select(F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), "text")
     m = m.withColumn("id", F.row_number().over(w))
     parent = F.when(F.col("id") > 1, F.col("id") - 1).alias("parent")
     return m.select("tree", "id", parent, "role", "text", F.lit(0.0).alias("score"))
@@ -141,12 +161,12 @@ def op8_chat_formatting(spark, sf_dir):
 
 
 _ROWS = f"""
-SELECT conv_id, turn, replace(coalesce(role, ''), chr(10), ' ') AS role, coalesce(text, '') AS text FROM conversations
+SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -1, 0, 'user', '{TRAP}' UNION ALL SELECT -1, 1, 'assistant', '{TRAP}'
 """
 SQL = f"""
 WITH r AS ({_ROWS}),
-e AS (SELECT *, length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + {len(START) + len(SEP) + len(END)} AS chars FROM r),
+e AS (SELECT *, length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '<\\n')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + {len(START) + len(SEP) + len(END)} AS chars FROM r),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
       coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars
       FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id)

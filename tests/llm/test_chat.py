@@ -32,3 +32,19 @@ def test_linear_edges(spark):
     assert [[(t["role"], t["text"]) for t in r["t"]] for r in out] == [[("user", "first"), ("", ""), ("assistant", "x"), ("assistant", "x")]]
     plan = chat.chat_format(chat.linear_messages(df))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_roles_with_line_breaks_come_back(spark):
+    roles = ["a\nb", "a\\nb", "<\nx", "<\\n", "\n\n|", "a\\\n|", "<|im_end|>\nuser"]
+    df = spark.createDataFrame([(i, 0, r, "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    out = chat.chat_format(chat.linear_messages(df)).select("tree", chat.read_back(F.col("formatted")).alias("t"))
+    assert {r["tree"]: [(t["role"], t["text"]) for t in r["t"]] for r in out.collect()} == {i: [(r, "t")] for i, r in enumerate(roles)}
+
+
+def test_long_chains_keep_their_order(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    paths = chat.branches(chat.linear_messages(df)).collect()
+    assert [list(r["path"]) for r in paths] == [list(range(1, 301))]
+    out = chat.chat_format(chat.linear_messages(df)).select(chat.read_back(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [t["text"] for t in out["t"]] == [f"t{i}" for i in range(300)] and out["loss"] == "".join(f"t{i}" for i in range(1, 300, 2))

@@ -106,7 +106,7 @@ def section_kind(title: Column) -> Column:
 def headings(lines: DataFrame) -> DataFrame:
     """doc, page, line, number, title, level: lines that look like headings (short, and bold, larger than the body or in
     capitals) whose numbers, if any, follow in sequence; a number may skip one."""
-    body = lines.groupBy("doc", (F.floor(F.col("size") * 2 + 0.5) / 2).alias("s")).agg(F.sum(F.length("text")).alias("n")).groupBy("doc").agg(F.max_by("s", "n").alias("body"))
+    body = lines.groupBy("doc", (F.floor(F.col("size") * 2 + 0.5) / 2).alias("s")).agg(F.sum(F.length("text")).alias("n")).groupBy("doc").agg(F.max_by("s", F.struct("n", -F.col("s"))).alias("body"))
     number = r"^((?:\d+|[A-Z])(?:\.\d+)*)\.?\s+(\p{Lu}.*)$"
     x = lines.join(body, "doc")
     style = F.col("bold") | (F.col("size") > F.col("body") + 0.4) | (F.upper("text") == F.col("text"))

@@ -34,8 +34,8 @@ def key_numbers(spark, sf):
 
 
 def zoned(spark, sf):
-    z = zoning.zone_sentences(sentence_rows(spark, sf).withColumn("section_kind", F.lit("other")))
-    return materialize(z, "zoned")
+    z = zoning.zone_sentences(sentence_rows(spark, sf))
+    return materialize(z.select("doc_id", "section_id", "section_title", "section_kind", "index", "text", "zone", "confidence", "scores"), "zoned")
 
 
 @query("zoned_sentences")
@@ -46,11 +46,11 @@ def zoned_sentences(spark, sf):
 
 @query("zone_distribution")
 def zone_distribution(spark, sf):
-    return zoning.zone_counts(zoned(spark, sf))
+    return zoning.zone_counts(zoning.zone_sentences(sentence_rows(spark, sf)), documents=load(spark, sf, "documents"))
 
 
 def _signals(spark, sf):
-    return materialize(review.signals(zoned(spark, sf).withColumn("section_title", F.lit("Document"))), "signals")
+    return materialize(review.signals(zoned(spark, sf), documents=load(spark, sf, "documents")), "signals")
 
 
 @query("rigor_profiles")
@@ -71,8 +71,8 @@ def question_intents(spark, sf):
 
 @query("answers")
 def answers(spark, sf):
-    """Every benchmark passage's opening words are asked of the document with the same number."""
-    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("doc_id"), F.substring("text", 1, 80).alias("question"))
+    """Every whole benchmark passage is asked of the document with the same number."""
+    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("item_id").alias("doc_id"), F.col("text").alias("question"))
     return answering.answer_questions(q, zoned(spark, sf))
 
 
@@ -159,12 +159,12 @@ def comparison_rows(spark, sf):
 
 
 _DROPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(briefing.FILLERS | T.STOPWORDS))
-_SPLIT = "list_filter(string_split_regex(trim(lower(text[1:60])), '\\s+'), lambda x: x <> '')"
+_SPLIT = "list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda x: x <> '')"
 
 
 @query("broadened_queries", f"WITH k AS (SELECT item_id, {_SPLIT} AS w, list_filter({_SPLIT}, lambda x: x NOT IN ({_DROPPED})) AS kept FROM benchmark) SELECT item_id, CASE WHEN len(kept) > 0 AND len(kept) < len(w) THEN array_to_string(kept, ' ') END AS broad FROM k")
 def broadened_queries(spark, sf):
-    return load(spark, sf, "benchmark").select("item_id", briefing.broaden(F.substring("text", 1, 60), 1).alias("broad"))
+    return load(spark, sf, "benchmark").select("item_id", briefing.broaden(F.col("text"), 1).alias("broad"))
 
 
 @query("self_citation", "SELECT c_nationkey AS doc, CASE WHEN count(*) >= 10 THEN round(sum(CASE WHEN list_contains(['building', 'machinery'], lower(c_mktsegment)) THEN 1 ELSE 0 END) / count(*), 9) END AS rate FROM customer GROUP BY 1")

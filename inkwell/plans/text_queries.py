@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import sequence, summarize
+from inkwell.operators import segment, sequence, summarize
 from inkwell.session import load
 from inkwell.sources import files, identifiers, records
 
@@ -32,8 +32,7 @@ _W = "[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*"
 
 @query("word_counts", f"WITH {_D} SELECT doc_id, len(regexp_extract_all(text, '{_W}'))::BIGINT AS words, len(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> ''))::BIGINT AS blanked FROM d")
 def word_counts(spark, sf):
-    blanked = F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda x: x != "")).cast("long")
-    return _docs(spark, sf).select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("words"), blanked.alias("blanked"))
+    return _docs(spark, sf).select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("words"), T.word_count(F.col("text")).cast("long").alias("blanked"))
 
 
 @query("fingerprint", f"WITH {_D} SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS fingerprint FROM d")
@@ -121,9 +120,23 @@ def finding_keys(spark, sf):
 
 
 def sentence_rows(spark, sf):
-    """doc_id, section_id, index, text of every document's sentences."""
-    d = _docs(spark, sf).select("doc_id", F.posexplode(T.sentences("text")).alias("index", "text"))
-    return d.select("doc_id", F.lit("s0").alias("section_id"), "index", "text")
+    """doc_id, section_id, section_title, section_kind, id, index, text of every document's sentences. Rows are dealt anew
+    first: a file of one row group would otherwise be split by one task."""
+    return segment.segment(segment.document_sections(_docs(spark, sf).repartition(spark.sparkContext.defaultParallelism)))
+
+
+@query("document_outline", """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS section FROM t)
+SELECT conv_id, section, CASE WHEN role = 'assistant' THEN 'Method of assistant' ELSE 'Notes of ' || role END AS title, CASE WHEN role = 'assistant' THEN 'method' ELSE 'other' END AS kind, 2 AS level, length(replace(text, '#', '')) AS chars FROM l""")
+def document_outline(spark, sf):
+    """Conversations as Markdown, one heading a turn, and their sections read back."""
+    t = load(spark, sf, "conversations").where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit("")).alias("text"))
+    title = F.when(F.col("role") == "assistant", "Method of assistant").otherwise(F.concat(F.lit("Notes of "), "role"))
+    # Line breaks inside a turn become blanks, so that no line of a turn is a heading.
+    part = F.concat(F.lit("## "), title, F.lit("\n"), F.translate("text", "\n", " "))
+    docs = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
+    x = segment.document_sections(docs, "conv_id")
+    return x.select("conv_id", "section", "title", "kind", "level", F.length(F.regexp_replace("text", r"^\n|\n$", "")).alias("chars"))
 
 
 @query("sentences")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import materialize
+from inkwell.session import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,41 +15,52 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps now instead of at some later collection.
+def attach(rows: DataFrame, table: DataFrame, key: str, share: int = 512) -> DataFrame:
+    """rows joined with the one row that table has of each key; rows without one go.
 
-    Events hold the plans of finished queries until all listeners have seen them, and a listener's queue holds the last
-    event until the next one comes; so a query over one row is run first."""
-    gc.collect()
-    spark.range(1).write.format("noop").mode("overwrite").save()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    spark._jvm.System.gc()
+    Keys with more than a share-th of all rows, fewer than share of them by that definition, are joined by broadcasting
+    their rows of table, so that no key's rows meet in one task; the rest are joined by shuffle. rows is read three times:
+    it should be a written table.
+    """
+    total = rows.count()
+    often = rows.groupBy(key).count().where(F.col("count") > max(total / share, 256)).select(key)
+    hot = [r[0] for r in often.collect()]
+    if not hot:
+        return rows.join(table, key)
+    few = rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema)
+    own = rows.join(F.broadcast(table.join(F.broadcast(few), key, "left_semi")), key)
+    return own.unionByName(rows.join(F.broadcast(few), key, "left_anti").join(table, key))
 
 
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (id, component) per node that has an edge,
     component being the smallest id reachable.
 
     Alternates large-star and small-star steps until the edges are stars around each smallest node; every step is
-    a grouped minimum (combined before the shuffle) and a join, so no node's neighbours meet in one task's memory.
-    Each round is written to the shared folder. Self-loops and repeated edges are allowed; an empty input gives an
-    empty result.
+    a grouped minimum (combined before the shuffle) and a join that gives hot hubs by broadcast, so no node's neighbours
+    meet in one task. Each round is written to the shared folder and the one before deleted. Self-loops and repeated
+    edges are allowed; an empty input gives an empty result.
     """
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = materialize(both.where("u <> v").distinct(), tag)
+    own = Scratch(scratch.spark)
+    e = own.keep(both.where("u <> v").distinct(), "e0")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
-    now, was = mark(e), None
+    now, was, k = mark(e), None, 0
     while now != was and now[0]:
+        k += 1
         n = e.select("u", "v").union(e.select("v", "u"))
         m = n.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = n.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = attach(n.where("v > u"), m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = own.keep(large.where("u <> v").distinct(), f"l{k}")
         m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(m.select("u", "m")).distinct(), tag)
+        small = attach(large, m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = own.keep(small.union(m.select("u", "m")).distinct(), f"e{k}")
         was, now = now, mark(e)
+        own.drop(f"l{k}", f"e{k - 1}")
     roots = e.select(F.col("v").alias("id")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", "id"))
+    out = scratch.keep(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", "id")), "components")
+    own.drop()
+    return out

@@ -21,9 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import release
 from inkwell.llm.language import held_out
-from inkwell.session import load, materialize
+from inkwell.session import Scratch, load
 
 DEPTH, CHUNK_BYTES = 4, 6 << 20
 #: Keys of the broadcast table at most (17 bytes each).
@@ -245,16 +244,16 @@ def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blobs = materialize(own.mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
-    asked = materialize(blobs.mapInArrow(_requests, "chunk long, key long, n long"), "asked")
-    counts = materialize(asked.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "counts")
-    release(spark)
+    scratch = Scratch(spark)
+    blobs = scratch.keep(own.mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
+    asked = scratch.keep(blobs.mapInArrow(_requests, "chunk long, key long, n long"), "asked")
+    counts = scratch.keep(asked.groupBy("key").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "counts")
 
     words = counts.where("key < 0")
     total, distinct = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     pair = F.expr("shiftrightunsigned(key, 8) & 65535").alias("pair")
     tree = counts.where("key >= 0").groupBy(pair).applyInPandas(_subtree_rows, "key long, p binary, b1 long, node long, zeros long, ones long, lw double")
-    tree = materialize(tree, "tree")
+    tree = scratch.keep(tree, "tree")
     rows = tree.where("key is null").groupBy("b1", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("lw")).collect()
     upper = spark.sparkContext.broadcast(_upper(rows))
 
@@ -277,8 +276,8 @@ def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     base = F.log10((F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     values = words.select("key", base.alias("value"), (F.col("c") > 0).alias("known"))
     values = values.unionAll(tree.where("key is not null").select("key", mixed("key", "p"), F.lit(True)))
-    values = materialize(values, "values")
-    release(spark)
+    values = scratch.keep(values, "values")
+    scratch.drop("tree")
     common = counts.where(F.col("chunks") >= _common_from(counts)).select("key")
     table = values.join(common, "key", "left_semi").orderBy("key").toArrow()
     told = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("key", "value", "known")))
@@ -317,7 +316,9 @@ def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
         names = [c.split()[0] for c in out.split(", ")]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
-    return blobs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, out)
+    scored = scratch.keep(blobs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, out), "scored")
+    scratch.drop(but="scored")
+    return scored
 
 
 def op9_ctw_scoring(spark, sf_dir):

@@ -6,11 +6,12 @@ enumerate all two-element subsets of such a prefix (k = 2); heavy ones, and ligh
 scan the inverted lists of theirs and must meet SCANNED times (k = SCANNED). The boundary is where the estimated cost
 of both together is least.
 
-Components need links up to connectivity only, so no list emits all its pairs: each set is first compared with the
-head it meets most often, components form, and then only pairs of a list that lie in different components are compared.
-Linked sets lie in one component, so the links themselves are counted afterwards by comparing all sets of a component
-with one another, in blocks. All is verified on whole sets, so no link between different texts is lost and none is
-invented (shingles and sets are told apart by 64-bit and 128-bit hashes).
+The order comes from a count sketch over all shingles of all tasks, of fixed size. Lists of at most SHORT sets give
+their pairs, so pairs are at most SHORT / 2 times the entries. Sets that share a longer list belong to one zone, and all
+sets of a zone are compared with one another in blocks of bounded size that give counts and a spanning forest, never
+pairs. A pair that links shares a list, so it lies in one zone or meets in short lists only: no link between different
+texts is lost, all is verified on whole sets, and none is invented (shingles and sets are told apart by 64-bit and
+128-bit hashes, keys between steps have 64 bits).
 """
 
 from __future__ import annotations
@@ -24,18 +25,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import components, release
-from inkwell.session import load, materialize
+from inkwell.llm.common import attach, components
+from inkwell.session import Scratch, load
 
 #: Words of a shingle; the similarity is NUM / DEN.
 WORDS, NUM, DEN = 5, 4, 5
-#: Hashes that a task counts at a time; shingles in the broadcast order at most (9 bytes each); sets of BOUNDARY_MOST
-#: shingles and more are always heavy.
-CHUNK, ORDER_MOST, BOUNDARY_MOST = 1 << 22, 1 << 20, 200
+#: Hashes that a task counts at a time; sets of BOUNDARY_MOST shingles and more are always heavy.
+CHUNK, BOUNDARY_MOST = 1 << 22, 200
 #: Lists in which a pair with a heavy set must meet; sets below four shingles have no unequal partner.
 SCANNED = 4
-#: Shingles of a block of a component's sets, about.
-BLOCK = 1 << 17
+#: Log2 of the sketch's slots, and of the slots of one of its rows.
+SLOTS, ROW = 22, 16
+#: Sets of a list that gives its pairs, at most.
+SHORT = 24
+#: Shingles and sets of a block of a zone, about.
+BLOCK, BLOCK_SETS = 1 << 18, 1 << 11
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -77,43 +81,52 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def signature(s: np.ndarray) -> tuple[bytes, int]:
+    """128-bit hash of a set, and its first 64 bits as a signed key."""
+    sig = xxhash.xxh3_128_digest(s.tobytes())
+    return sig, int.from_bytes(sig[:8], "little", signed=True)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (id, n, key, sig, scan), and rows of shingles that occur in more than one distinct set here."""
+    """A row per document (id, n, key, sig, scan), and rows of a chunk's sketch (place, at, times): counts of the slots of
+    one row of it that are not empty. Each distinct set of a task counts once."""
     seen: set[bytes] = set()
     sets: list[np.ndarray] = []
     rows: list[list] = []
+    id_type, held = pa.int64(), 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal sets, rows
-        own = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        kinds, at, n = np.unique(own, return_inverse=True, return_counts=True)
-        count = n[at]
-        first = 0
-        scans = []
-        for s in sets:
-            c = np.sort(count[first : first + len(s)])[: len(s) - need(len(s)) + 1]
-            scans.append(int((c - 1).sum()))
-            first += len(s)
+        slots = [(s >> np.uint64(64 - SLOTS)).astype(np.int32) for s in sets]
+        times = np.bincount(np.concatenate(slots), minlength=1 << SLOTS) if sets else np.zeros(1 << SLOTS, np.int64)
+        scans = [int((np.partition(times[x], len(x) - need(len(x)))[: len(x) - need(len(x)) + 1] - 1).sum()) for x in slots]
         for r in rows:
             r[4] = scans[r[4]] if r[4] is not None else 0
-        often = n > 1
         ids, sizes, keys, sigs, scan = zip(*rows, strict=True) if rows else ((),) * 5
-        lone = len(rows)
+        own = len(rows)
+        place, at, counted = [], [], []
+        for k in range(1 << (SLOTS - ROW)) if sets else ():
+            part = times[k << ROW : (k + 1) << ROW]
+            if len(hit := np.flatnonzero(part)):
+                place.append(k)
+                at.append(hit.astype(np.uint16).tobytes())
+                counted.append(np.minimum(part[hit], 65535).astype(np.uint16).tobytes())
+        lone = len(place)
         yield pa.RecordBatch.from_pydict({
-            "id": pa.array([*ids, None], id_type), "n": pa.array([*sizes, None], pa.int64()), "key": pa.array([*keys, None], pa.int64()),
-            "sig": pa.array([*sigs, None], pa.binary()), "scan": pa.array([*scan, None], pa.int64()),
-            "hs": pa.array([None] * lone + [kinds[often].view(np.int64)], pa.list_(pa.int64())), "cs": pa.array([None] * lone + [n[often]], pa.list_(pa.int64())),
+            "id": pa.array([*ids, *[None] * lone], id_type), "n": pa.array([*sizes, *[None] * lone], pa.int64()),
+            "key": pa.array([*keys, *[None] * lone], pa.int64()), "sig": pa.array([*sigs, *[None] * lone], pa.binary()),
+            "scan": pa.array([*scan, *[None] * lone], pa.int64()), "place": pa.array([*[None] * own, *place], pa.int32()),
+            "at": pa.array([*[None] * own, *at], pa.binary()), "times": pa.array([*[None] * own, *counted], pa.binary()),
         })
         sets, rows = [], []
 
-    id_type, held = pa.int64(), 0
     for b in batches:
         id_type = b.schema.field(0).type
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingles(text)
-            sig = xxhash.xxh3_128_digest(s.tobytes())
+            sig, key = signature(s)
             new = sig not in seen and len(s) > 0
-            rows.append([i, len(s), int.from_bytes(sig[:8], "little", signed=True), sig, len(sets) if new else None])
+            rows.append([i, len(s), key, sig, len(sets) if new else None])
             if new:
                 seen.add(sig)
                 sets.append(s)
@@ -124,11 +137,89 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _bitmap(hashes: DataFrame) -> tuple[int, np.ndarray]:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sketch of all rows of sketches of a task."""
+    total = np.zeros((1 << (SLOTS - ROW), 1 << ROW), np.int64)
+    for b in batches:
+        for place, at, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total[place, np.frombuffer(at, np.uint16)] += np.frombuffer(times, np.uint16)
+    some = np.flatnonzero(total.any(1))
+    yield pa.RecordBatch.from_pydict({"place": pa.array(some, pa.int32()), "counts": pa.array([total[k].tobytes() for k in some], pa.binary())})
+
+
+def _leveled(pdf):
+    """The class of each slot of one row of the sketch: 0 for a count that chance explains, else log2 of what it has above
+    that. Slots are hashes, so the row's median is what chance gives."""
+    import pandas as pd
+
+    total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
+    usual = float(np.median(total))
+    above = total - usual - 3 * np.sqrt(usual)
+    return pd.DataFrame({"place": pdf["place"][:1], "level": [np.floor(np.log2(np.maximum(above, 1))).astype(np.uint8).tobytes()]})
+
+
+def shingle_levels(sketch: DataFrame) -> np.ndarray:
+    """The class of each slot: at most 16 tasks add the sketches up, one task a row adds 16 of these, and the driver gets a
+    byte a slot."""
+    summed = sketch.coalesce(16).mapInArrow(_summed, "place int, counts binary")
+    out = np.zeros((1 << (SLOTS - ROW), 1 << ROW), np.uint8)
+    for row in summed.groupBy("place").applyInPandas(_leveled, "place int, level binary").collect():
+        out[row["place"]] = np.frombuffer(row["level"], np.uint8)
+    return out.ravel()
+
+
+def choose_boundary(sizes: list[tuple[int, int, int]], spread: int) -> int:
+    """Smallest size of a heavy set. sizes: (n, sets, list entries their prefixes met in a task); spread: tasks."""
+    best, at = None, 4
+    rows = {n: (m, m * (n - need(n) + 2) * (n - need(n) + 1) // 2, m * (n - need(n) + SCANNED) + scan * spread) for n, m, scan in sizes}
+    for b in range(4, BOUNDARY_MOST + 1):
+        cost = sum(x[1] if n < b else x[2] for n, x in rows.items())
+        if best is None or cost < best:
+            best, at = cost, b
+    return at
+
+
+def _postings(levels, boundary: int):
+    """Texts to list entries (h, key, n, pos); pos is -1 where the list is that of a two-element subset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value
+        seen: set[bytes] = set()
+        for b in batches:
+            hs, keys, ns, at = [], [], [], []
+            for text in b.column(0).to_pylist():
+                s = shingles(text)
+                n = len(s)
+                if n < 4:
+                    continue
+                sig, key = signature(s)
+                if sig in seen:
+                    continue
+                seen.add(sig)
+                s = s[np.argsort(level[s >> np.uint64(64 - SLOTS)], kind="stable")]
+                spare = n - need(n)
+                own = []
+                if n * DEN >= boundary * NUM:
+                    own.append((s[: spare + SCANNED], np.arange(min(n, spare + SCANNED))))
+                if n < boundary:
+                    a, c = np.array(list(combinations(range(spare + 2), 2))).T
+                    own.append((mix(s[a] * M2 + mix(s[c])), np.full(len(a), -1)))
+                for h, p in own:
+                    hs.append(h)
+                    at.append(p)
+                    keys.append(np.full(len(h), key, np.int64))
+                    ns.append(np.full(len(h), n, np.int32))
+            if hs:
+                cols = {"h": np.concatenate(hs).view(np.int64), "key": np.concatenate(keys), "n": np.concatenate(ns), "pos": np.concatenate(at).astype(np.int32)}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
+
+    return run
+
+
+def _bitmap(hashes: DataFrame, many: int) -> tuple[int, np.ndarray]:
     """A one-probe Bloom filter of the hashes (h): log2 of its slots, at most 2**29 (64 MB), and its bytes. Texts that it
     lets through without need cost time only."""
-    hashes = materialize(hashes, "wanted")
-    log = int(min(29, max(15, np.ceil(np.log2(max(1, hashes.count()) * 64)))))
+    log = int(min(29, max(15, np.ceil(np.log2(max(1, many) * 64)))))
     slot = F.shiftrightunsigned("h", 64 - log) + 1
     parts = hashes.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     out = np.zeros((1 << log) // 8, np.uint8)
@@ -148,54 +239,28 @@ def _sets(wanted):
             hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
             for part in range(0, len(hit), 256):
                 sets = [shingles(t) for t in b.column(1).take(pa.array(hit[part : part + 256])).to_pylist()]
-                key = [int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
+                key = [signature(s)[1] for s in sets]
                 yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
     return run
 
 
-def shingle_order(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and the class (log2 of the count) of each: at most ORDER_MOST, those from
-    the smallest power of two at which so few remain. Any set of them gives a valid order; all others are class 0."""
-    level = F.floor(F.log2("c")).cast("int").alias("level")
-    told = counts.groupBy("h").agg(F.sum("c").alias("c")).select("h", level)
-    told = materialize(told.where("level >= 2"), "order")
-    total, least = 0, 64
-    for level, n in sorted(told.groupBy("level").count().collect(), reverse=True):
-        if total + n > ORDER_MOST:
-            break
-        total, least = total + n, level
-    pdf = told.where(F.col("level") >= least).orderBy("h").toPandas()
-    h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    return h[by], pdf["level"].to_numpy(np.uint8)[by]
-
-
-def choose_boundary(sizes: list[tuple[int, int, int]], spread: int) -> int:
-    """Smallest size of a heavy set. sizes: (n, sets, list entries their prefixes met in a task); spread: tasks."""
-    best, at = None, 4
-    rows = {n: (m, m * (n - need(n) + 2) * (n - need(n) + 1) // 2, m * (n - need(n) + SCANNED) + scan * spread) for n, m, scan in sizes}
-    for b in range(4, BOUNDARY_MOST + 1):
-        cost = sum(x[1] if n < b else x[2] for n, x in rows.items())
-        if best is None or cost < best:
-            best, at = cost, b
-    return at
-
-
-def count_links(key, pdf):
-    """(key, links) of sets (key, s, copies, salt) of one pair of blocks of a component: how many rows of other sets each
-    links with; those of one block only where the pair is one block."""
+def compare_block(key, pdf):
+    """Sets (key, s, copies, salt) of one pair of blocks of a zone, those of one block with one another only where the pair
+    is one block: (key, links), how many rows of other sets each links with, and (key, other), links that join all that
+    are joined here."""
     import pandas as pd
 
-    sets, copies, salt = pdf["s"].tolist(), pdf["copies"].to_numpy(float), pdf["salt"].to_numpy()
+    sets, copies, salt, names = pdf["s"].tolist(), pdf["copies"].to_numpy(float), pdf["salt"].to_numpy(), pdf["key"].to_numpy()
     sizes = np.array(list(map(len, sets)))
     _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
-    starts = np.cumsum(many) - many
-    ends = np.cumsum(sizes)
-    links = np.zeros(len(sets), np.int64)
+    starts, ends = np.cumsum(many) - many, np.cumsum(sizes)
+    links, tree = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    a, b = [], []
     for i, n in enumerate(sizes):
         own = at[ends[i] - n : ends[i]]
+        own = own[many[own] > 1]
         width = many[own]
         place = np.arange(width.sum()) + np.repeat(starts[own] - (np.cumsum(width) - width), width)
         both = np.bincount(owners[place], minlength=len(sets))
@@ -204,7 +269,15 @@ def count_links(key, pdf):
         if key[1] != key[2]:
             hit &= salt != salt[i]
         links[i] = int(copies[hit].sum())
-    return pd.DataFrame({"key": pdf["key"], "links": links})
+        hit = np.flatnonzero(hit)
+        trees, first = np.unique(tree[hit], return_index=True)
+        apart = trees != tree[i]
+        if apart.any():
+            a += [names[i]] * int(apart.sum())
+            b += names[hit[first[apart]]].tolist()
+            tree[np.isin(tree, trees[apart])] = tree[i]
+    counted = pd.DataFrame({"key": names, "other": pd.array([None] * len(names), "Int64"), "links": links})
+    return pd.concat([counted, pd.DataFrame({"key": pd.array(a, "int64"), "other": pd.array(b, "Int64"), "links": 0})])
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,124 +286,83 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents link when 100 * intersection >= 80 * union of their distinct 5-word shingles; component_id is the
     smallest id reachable by links, itself included. Equal sets link as one class. Null, empty and all-blank texts
     have the empty set and link with nothing; a text of one to four words is one shingle. Repeated rows share their
-    class. Very long texts are read whole, ties of the order go by hash, other columns are not read, and an empty
-    table gives an empty result. links_verified counts the other rows that a row links with, equal
-    sets included.
+    class; a null id takes part like any other, and a class of null ids alone has a null component_id. Very long texts
+    are read whole, ties of the order go by hash, other columns are not read, and an empty table gives an empty result.
+    links_verified counts the other rows that a row links with, equal sets included.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    told = own.mapInArrow(_describe, f"id {kind}, n long, key long, sig binary, scan long, hs array<long>, cs array<long>")
-    told = materialize(told, "shingles")
-    rows = told.where("n is not null").select("id", "n", "key", "sig", "scan")
-    counts = told.where("hs is not null").select(F.explode(F.arrays_zip("hs", "cs")).alias("x")).select(F.col("x.hs").alias("h"), F.col("x.cs").alias("c"))
-    often, level = shingle_order(counts)
-    spread = max(1, told.where("hs is not null").count())
-    sizes = rows.where(f"n between 4 and {BOUNDARY_MOST - 1}").groupBy("n").agg(F.countDistinct("key"), F.sum("scan")).collect()
+    told = own.mapInArrow(_describe, f"id {kind}, n long, key long, sig binary, scan long, place int, at binary, times binary")
+    told = scratch.keep(told, "shingles")
+    rows = told.where("n is not null").select("id", "n", "key", "scan")
+    levels = spark.sparkContext.broadcast(shingle_levels(told.where("place is not null").select("place", "at", "times")))
+    spread = max(1, told.rdd.getNumPartitions())
+    sizes = rows.where(f"n between 4 and {BOUNDARY_MOST - 1}").groupBy("n").agg(F.approx_count_distinct("key"), F.sum("scan")).collect()
     boundary = choose_boundary([tuple(map(int, r)) for r in sizes], spread)
-    order = spark.sparkContext.broadcast((often, level))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, classes = order.value
-        seen: set[bytes] = set()
-        for b in batches:
-            hs, keys, ns, at = [], [], [], []
-            for text in b.column(0).to_pylist():
-                s = shingles(text)
-                n = len(s)
-                if n < 4 or (sig := xxhash.xxh3_128_digest(s.tobytes())) in seen:
-                    continue
-                seen.add(sig)
-                if len(hot):
-                    i = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    s = s[np.argsort(np.where(hot[i] == s, classes[i], 0), kind="stable")]
-                spare = n - need(n)
-                own = []
-                if n * DEN >= boundary * NUM:
-                    own.append((s[: spare + SCANNED], np.arange(min(n, spare + SCANNED))))
-                if n < boundary:
-                    a, c = np.array(list(combinations(range(spare + 2), 2))).T
-                    own.append((mix(s[a] * M2 + mix(s[c])), np.full(len(a), -1)))
-                for h, p in own:
-                    hs.append(h)
-                    at.append(p)
-                    keys.append(np.full(len(h), int.from_bytes(sig[:8], "little", signed=True), np.int64))
-                    ns.append(np.full(len(h), n, np.int32))
-            if hs:
-                cols = {"h": np.concatenate(hs).view(np.int64), "key": np.concatenate(keys), "n": np.concatenate(ns), "pos": np.concatenate(at).astype(np.int32)}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
-
-    postings = materialize(own.select("text").mapInArrow(post, "h long, key long, n int, pos int"), "postings")
-    heads = postings.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    live = materialize(postings.join(heads, "h").distinct(), "lists")
-    release(spark)
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        """(key, s): the whole sets of the keys, from the text of one document each."""
-        first = rows.groupBy("key").agg(F.min("id").alias("id")).join(keys, "key", "left_semi")
-        wanted = spark.sparkContext.broadcast(_bitmap(first.select(F.xxhash64("id").alias("h"))))
-        texts = own.select(F.xxhash64("id").alias("h"), "text")
-        return materialize(texts.mapInArrow(_sets(wanted), "key long, s array<long>"), "sets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that link."""
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-        got = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-        got = got.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - both
-        linked = materialize(got.where(both * 100 >= union * 80).select("a", "b").distinct(), "links")
-        release(spark)
-        return linked
-
-    # Each set with the head it meets in most lists; heads met once in a scanned list are left to the second round.
-    met = live.select("key", "pos", F.explode(F.array("low", "high")).alias("head")).where("key <> head")
-    met = met.groupBy("key", "head").agg(F.sum(F.when(F.col("pos") < 0, 2).otherwise(1)).alias("met")).where("met > 1")
-    star = met.groupBy("key").agg(F.max_by("head", F.struct("met", "head")).alias("head"))
-    star = materialize(star.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct(), "stars")
-    links = verify(star)
-    found = materialize(components(links), "found")
-
-    # Pairs in different components so far, that meet often enough.
-    placed = live.join(found.select(F.col("id").alias("key"), "component"), "key", "left")
-    placed = placed.select("h", "key", "n", "pos", F.coalesce("component", "key").alias("comp"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    placed = materialize(placed.join(mixed, "h", "left_semi"), "mixed")
-    x, y = (placed.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "pos", "comp")]) for k in "xy")
+    kinds = rows.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("id").alias("low"))
+    kinds = scratch.keep(kinds, "kinds")
+
+    postings = scratch.keep(own.select("text").mapInArrow(_postings(levels, boundary), "h long, key long, n int, pos int"), "postings")
+    shared = postings.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h", "low")
+    live = scratch.keep(postings.join(shared, "h").distinct(), "lists")
+    scratch.drop("postings")
+    lists = scratch.keep(live.groupBy("h").agg(F.count("*").alias("length")).where(F.col("length") > SHORT).select("h"), "long")
+    same = live.join(lists, "h", "left_semi").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    zones = components(scratch, same).select(F.col("id").alias("key"), F.col("component").alias("zone"))
+
+    # Pairs of short lists, but for those of one zone.
+    placed = live.join(lists, "h", "left_anti").join(zones, "key", "left").select("h", "key", "n", "pos", "zone")
+    x, y = (placed.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "pos", "zone")]) for k in "xy")
     fits = (F.col("n_x") * DEN >= F.col("n_y") * NUM) & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
     most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     room = (F.col("pos_x") < 0) | (most * (NUM + DEN) >= (F.col("n_x") + F.col("n_y")) * NUM)
-    cross = x.join(y, (x["h"] == y["h"]) & (x["key_x"] < y["key_y"]) & (x["comp_x"] != y["comp_y"]) & fits & room)
-    cross = cross.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(F.sum(F.when(F.col("pos_x") < 0, SCANNED).otherwise(1)).alias("met"))
-    cross = cross.where(F.col("met") >= SCANNED).select("a", "b").join(star, ["a", "b"], "left_anti")
-    cross = materialize(cross, "cross")
-    release(spark)
-    links = links.union(verify(cross))
-    found = components(links)
-
-    # The links of each set. Both sets of a component of two link; others are compared block by block.
-    found = materialize(found, "found")
-    copies = rows.where("n > 0").groupBy("key", "n").agg(F.count("*").alias("copies"))
-    members = found.select(F.col("id").alias("key"), "component").join(copies, "key")
-    totals = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("copies").alias("total"), F.sum("n").alias("width"))
-    members = materialize(members.join(totals, "component"), "members")
-    salts = F.ceil(F.col("width") / BLOCK).cast("long")
-    several = members.where("m > 2").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("key"), "salts"))
-    sets = sets_of(several.select("key")).dropDuplicates(["key"])
-    blocks = several.join(sets, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    blocks = blocks.select("component", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "key", "s", "copies", "salt")
-    counted = blocks.groupBy("component", "low", "high").applyInPandas(count_links, "key long, links long")
-    counted = materialize(counted.union(members.where("m = 2").select("key", F.col("total") - F.col("copies"))), "counted")
-    release(spark)
-    degree = copies.join(counted.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
-    degree = degree.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_verified"))
-    placed = rows.groupBy("key", "n").agg(F.min("id").alias("low")).join(found.withColumnRenamed("id", "key"), "key", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "key"))
-    lowest = placed.where("n > 0").groupBy("component").agg(F.min("low").alias("component_id"))
-    placed = materialize(placed.where("n > 0").join(lowest, "component").join(degree, "key", "left").select("key", "component_id", "links_verified"), "classes")
-    out = rows.join(placed, "key", "left")
-    lone = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), lone.alias("component_id"), F.coalesce("links_verified", F.lit(0)).cast("long").alias("links_verified"))
+    alike = (F.col("pos_x") < 0) == (F.col("pos_y") < 0)
+    apart = F.col("zone_x").isNull() | F.col("zone_y").isNull() | (F.col("zone_x") != F.col("zone_y"))
+    pairs = x.join(y, (x["h"] == y["h"]) & (x["key_x"] < y["key_y"]) & fits & alike & room & apart)
+    pairs = pairs.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(F.sum(F.when(F.col("pos_x") < 0, SCANNED).otherwise(1)).alias("met"))
+    pairs = scratch.keep(pairs.where(F.col("met") >= SCANNED).select("a", "b"), "pairs")
+    scratch.drop("lists", "long")
+
+    # The whole sets of all that are compared, from the text of one document each.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(zones.select("key")).distinct()
+    first = scratch.keep(kinds.join(wanted, "key", "left_semi").select(F.xxhash64("low").alias("h")), "wanted")
+    known = spark.sparkContext.broadcast(_bitmap(first, first.count()))
+    texts = own.select(F.xxhash64("id").alias("h"), "text")
+    sets = scratch.keep(texts.mapInArrow(_sets(known), "key long, s array<long>").dropDuplicates(["key"]), "sets")
+
+    near = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+    near = near.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = scratch.keep(near.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 80).select("a", "b"), "near")
+    scratch.drop("pairs")
+
+    members = zones.join(kinds, "key").select("zone", "key", "n", "copies")
+    salts = members.groupBy("zone").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("salts"))
+    blocks = attach(members, salts, "zone").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(sets, "key")
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    blocks = blocks.select("zone", F.least("salt", "other").alias("one"), F.greatest("salt", "other").alias("two"), "key", "s", "copies", "salt")
+    dense = scratch.keep(blocks.groupBy("zone", "one", "two").applyInPandas(compare_block, "key long, other long, links long"), "dense")
+    scratch.drop("sets")
+
+    edges = near.union(dense.where("other is not null").select("key", "other"))
+    found = components(scratch, edges).withColumnRenamed("id", "key")
+    ends = near.select(F.col("a").alias("key"), F.col("b").alias("other")).union(near.select("b", "a"))
+    ends = ends.join(kinds.select(F.col("key").alias("other"), F.col("copies").alias("links")), "other").select("key", "links")
+    ends = ends.union(dense.where("other is null").select("key", "links")).groupBy("key").agg(F.sum("links").alias("links"))
+    classes = kinds.join(found, "key", "left").join(ends, "key", "left")
+    classes = classes.select("key", F.coalesce("component", "key").alias("component"), "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links_verified"))
+    lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = scratch.keep(attach(classes, lowest, "component").select("key", "component_id", "links_verified"), "classes")
+    out = attach(rows.where("n > 0"), classes, "key").select("id", "n", "component_id", "links_verified")
+    out = out.union(rows.where("n = 0").select("id", "n", "id", F.lit(0).cast("long")))
+    out = scratch.keep(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("links_verified").cast("long")), "result")
+    total = rows.count()
+    scratch.drop(but="result")
+    if out.count() != total:
+        raise RuntimeError("two different sets have one 64-bit key")
+    return out
 
 
 def op7_ngram_jaccard(spark, sf_dir):

@@ -5,29 +5,31 @@ lists, the lists of a node from all its shards are united, and every node is the
 greedy search from the shard's medoid, expanded for as long as it finds nodes within the range. What is found is
 verified by cosine in double precision.
 
-A dense group larger than a few shards has most of its pairs in no common shard. Nodes that link with any other are
-therefore dealt once more, to cells, and compared in blocks with the nodes of every cell that can hold a partner by
-the geometry of the cells; pairs of a common shard are left to the graph. Recall is audited against brute force, and
-where it is below LEAST_RECALL all nodes are compared in this way.
+The searches tell which nodes have a partner at all. These are dealt once more, to cells, and verified in blocks with the
+nodes of every cell that can hold a partner by the geometry of the cells, so that a dense group may span any number of
+shards: of two nodes that have a partner each, no link is lost and none counted twice. Recall is audited against
+brute force, half of it on nodes with links; where it is below LEAST_RECALL all nodes are compared in this way.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import components
-from inkwell.session import load, materialize
+from inkwell.llm.common import attach, components
+from inkwell.session import Scratch, load
 
 #: Nodes that a shard has on average, shards that a node goes to at most and how much farther than the nearest centre
 #: (in angle) another may be; degree and slack of pruning; beam of the search.
 SHARD, OVERLAP, SLACK, DEGREE, ALPHA, BEAM = 600, 4, 1.35, 24, 1.2, 24
-#: Rows that centres are fitted on at most (those with the smallest hashes), and vectors of the audit at most.
+#: Rows that centres are fitted on, about (those with the smallest hashes; every row is dealt), and vectors of each half of
+#: the audit at most.
 FIT_ROWS, AUDIT_ROWS, SEED = 20_000, 64, 11
 #: A shard beyond this many nodes is split again by centres of its own, fitted on up to SPLIT_FIT of its rows and dealt
-#: SPLIT_STEP rows at a time; ROUNDS times at most.
-SHARD_MOST, SPLIT_FIT, SPLIT_STEP, ROUNDS = 4096, 4096, 50_000, 6
+#: SPLIT_STEP rows at a time, until none is left; one that its centres hardly divide is dealt by hash.
+SHARD_MOST, SPLIT_FIT, SPLIT_STEP = 1500, 4096, 50_000
 #: Nodes that a cell has on average, that a block of a cell has about and that visit a block in one task about; visitors
 #: compared at a time; audited recall below which all nodes are compared.
 CELL, BLOCK, VISITORS, STEP, LEAST_RECALL = 2048, 4096, 32_768, 512, 0.9
@@ -154,62 +156,63 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], least: float) -> list[n
     return found
 
 
-def _local_roots(pairs: list[np.ndarray]) -> np.ndarray:
-    """Smallest row reachable by links inside a shard."""
-    root = np.arange(len(pairs))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, own in enumerate(pairs):
-        for j in own.tolist():
-            a, b = sorted((top(i), top(j)))
-            root[b] = a
-    return np.array([top(i) for i in range(len(pairs))], np.int64)
-
-
 def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per input row: id_col, n_links, component_id, kept, audit_recall.
 
     Two vectors link when their cosine in double precision is least or more; n_links counts the other rows linked
     directly, component_id is the smallest id reachable. Vectors that are null, empty or zero, or hold null or
     non-finite components, link with nothing; so do vectors of different lengths. Equal vectors link with one
-    another. Repeated rows count each; other columns are not read; an empty table gives an empty result.
-    audit_recall is the share of true links found from up to AUDIT_ROWS vectors compared with all others, 1 where
-    they have none.
+    another. Repeated rows count each, null ids are rows like others; other columns are not read; an empty table gives an empty result.
+    audit_recall is the share of true links found, see audit.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = materialize(vectors.select(F.col(id_col).alias("id"), F.when(fine, v).alias("v")), "vectors")
-    # Negative zeros are zeros for the key of equal vectors.
-    named = rows.where("v is not null").withColumn("node", F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)), F.size("v")))
-    nodes = materialize(named.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.min("v").alias("v")), "nodes")
+    scratch = Scratch(spark)
+    # Negative zeros become zeros, so that equal vectors are equal arrays.
+    v = F.transform(v, lambda x: x + F.lit(0.0))
+    rows = scratch.keep(vectors.select(F.col(id_col).alias("id"), F.when(fine, v).alias("v")), "vectors")
+    named = rows.where("v is not null").withColumn("node", F.xxhash64("v", F.size("v")))
+    nodes = named.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.min("v").alias("v"), F.max("v").alias("other"))
+    nodes = scratch.keep(nodes.withColumn("mixed", F.col("v") != F.col("other")).drop("other"), "nodes")
+    if not nodes.where("mixed").isEmpty():
+        raise RuntimeError("two different vectors have one 64-bit hash")
     dims = nodes.select(F.size("v").alias("d")).distinct()
     dims = [d for (d,) in dims.orderBy("d").collect()]
     if not dims:
         lone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
         return lone.select("*", F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
-    linked = materialize(_union([_search(nodes.where(F.size("v") == d), least, spark) for d in dims]), "linked")
+    parts = [nodes.where(F.size("v") == d).select("node", "v", "copies") for d in dims]
+    some = scratch.keep(_union([_search(x, least, scratch) for x in parts]), "partnered")
+    linked = scratch.keep(_union([compare_cells(x.join(some, "node", "left_semi"), least, scratch) for x in parts]), "linked")
     recall = audit(nodes, linked, least)
     if recall < LEAST_RECALL:
-        every = nodes.select("node", "v", "copies", F.array().cast("array<long>").alias("shards"))
-        linked = materialize(_union([compare_cells(every.where(F.size("v") == d), least, spark) for d in dims]), "linked")
+        linked = scratch.keep(_union([compare_cells(x, least, scratch) for x in parts]), "linked")
         recall = audit(nodes, linked, least)
     edges = linked.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = components(edges)
+    found = components(scratch, edges)
     degree = linked.groupBy("node").agg(F.sum("n").alias("others"))
     told = nodes.select("node", "low", "copies").join(degree, "node", "left").join(found.withColumnRenamed("id", "node"), "node", "left")
-    told = materialize(told.withColumn("component", F.coalesce("component", "node")), "told")
+    told = scratch.keep(told.withColumn("component", F.coalesce("component", "node")), "told")
     lowest = told.groupBy("component").agg(F.min("low").alias("component_id"))
-    told = told.join(lowest, "component").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = named.select("id", "node").join(told, "node").select("id", "n_links", "component_id")
+    told = attach(told, lowest, "component").select("node", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = scratch.keep(told, "classes")
+    out = attach(named.select("id", "node"), told, "node").select("id", "n_links", "component_id")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = out.union(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("audit_recall"))
+    out = out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("audit_recall"))
+    out = scratch.keep(out, "result")
+    scratch.drop(but="result")
+    return out
+
+
+def drawn(rows: DataFrame, most: int, seed: int) -> np.ndarray:
+    """The vectors of about most rows, those of the smallest hashes: a fixed share of the hashes leaves the tasks."""
+    total = max(1, rows.count())
+    h = F.xxhash64("node", F.lit(seed))
+    part = rows.where(h < F.lit(int(-(2**63) + min(1.0, most / total) * (2**64 - 1)))) if total > most else rows
+    got = sorted((r["h"], r["v"]) for r in part.select(h.alias("h"), "v").collect())
+    return unit_rows(np.array([v for _, v in got], float)) if got else unit_rows(np.array([rows.first()["v"]], float))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -219,15 +222,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def split_large(flat: DataFrame) -> DataFrame:
-    """flat (a row per node and shard) with no shard beyond SHARD_MOST, and shards as they are then.
+def split_large(flat: DataFrame, scratch: Scratch) -> DataFrame:
+    """flat (shard, node, v: a row per node and shard) with no shard beyond SHARD_MOST.
 
     Each round fits centres on a bounded part of every large shard and deals all its rows to them, a bounded group at a
-    time, each to up to two of them."""
-    for _ in range(ROUNDS):
-        big = materialize(flat.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_MOST), "big")
-        if big.isEmpty():
+    time, each to up to two of them. What is still large and has not shrunk by a tenth is dealt by hash."""
+    was = None
+    while True:
+        sizes = flat.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > SHARD_MOST)
+        big = scratch.keep(sizes, "big")
+        now = big.agg(F.max("size")).first()[0]
+        if now is None:
             return flat
+        if was is not None and now > 0.9 * was:
+            part = F.pmod(F.xxhash64("node", F.lit(SEED + 6)), F.ceil(F.col("size") / SHARD).cast("long"))
+            flat = flat.join(big, "shard", "left").withColumn("shard", F.when(F.col("size").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", part)))
+            return scratch.keep(flat.select("shard", "node", "v"), "dealt")
+        was = now
         rows = flat.join(big, "shard")
         # A fixed share of the shard's hashes is drawn before the rows are ranked, so that few rows meet in the window.
         part = rows.where(F.pmod(F.xxhash64("node", F.lit(SEED + 2)), F.col("size")) < 4 * SPLIT_FIT)
@@ -243,34 +254,31 @@ def split_large(flat: DataFrame) -> DataFrame:
 
         centres = part.groupBy("shard").applyInPandas(fit, "shard long, size long, centres array<double>")
         salts = F.ceil(F.col("size") / SPLIT_STEP).cast("long")
-        centres = materialize(centres.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "split")
+        centres = scratch.keep(centres.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), "split")
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(SEED + 3)), salts)).select("shard", "salt", "node", "v")
 
         def deal(key, left, right):
             import pandas as pd
 
             if not len(left) or not len(right):
-                return pd.DataFrame({"shard": [], "node": [], "child": []})
+                return pd.DataFrame({"shard": [], "node": [], "v": []})
             x = unit_rows(np.array(left["v"].tolist(), float))
             own = assign(x, np.array(right["centres"].iloc[0]).reshape(-1, x.shape[1]), 2)
             n = list(map(len, own))
-            child = (key[0] + 1) * 4096 + np.concatenate(own)
-            return pd.DataFrame({"shard": np.repeat(key[0], sum(n)), "node": np.repeat(left["node"].to_numpy(), n), "child": child})
+            at = np.repeat(np.arange(len(left)), n)
+            child = np.array([xxhash.xxh3_64_intdigest(b"%d %d" % (key[0], c)) >> 1 for c in np.concatenate(own).tolist()], np.int64)
+            return pd.DataFrame({"shard": child, "node": left["node"].to_numpy()[at], "v": left["v"].to_numpy()[at]})
 
-        got = rows.groupBy("shard", "salt").cogroup(centres.groupBy("shard", "salt")).applyInPandas(deal, "shard long, node long, child long")
-        new = flat.join(got, ["shard", "node"], "left").withColumn("shard", F.coalesce("child", "shard")).drop("child", "shards").distinct()
-        own = new.groupBy("node").agg(F.collect_set("shard").alias("shards"))
-        flat = materialize(new.join(own, "node"), "dealt")
-    return flat
+        got = rows.groupBy("shard", "salt").cogroup(centres.groupBy("shard", "salt")).applyInPandas(deal, "shard long, node long, v array<double>")
+        flat = scratch.keep(flat.join(big, "shard", "left_anti").unionByName(got), "dealt")
 
 
-def _search(nodes: DataFrame, least: float, spark) -> DataFrame:
-    """(node, root, n) of each shard: a node linked in the shard, or itself, and how many rows it links with there
-    that no smaller shard of both has."""
+def _search(nodes: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(node) of the nodes for which a search of some shard found a partner."""
     total = nodes.count()
     k = max(1, -(-total // SHARD))
-    fit = np.array([r["v"] for r in nodes.orderBy(F.xxhash64("node", F.lit(SEED))).select("v").limit(FIT_ROWS).collect()])
-    centres = spark.sparkContext.broadcast(k_means(unit_rows(fit), min(k, max(1, len(fit) // 8))))
+    fit = drawn(nodes, FIT_ROWS, SEED)
+    centres = scratch.spark.sparkContext.broadcast(k_means(fit, min(k, max(1, len(fit) // 8))))
 
     @F.pandas_udf("array<long>")
     def shards(v):
@@ -278,8 +286,8 @@ def _search(nodes: DataFrame, least: float, spark) -> DataFrame:
 
         return pd.Series(assign(unit_rows(np.array(v.tolist(), float)), centres.value)) if len(v) else pd.Series([], dtype=object)
 
-    dealt = materialize(nodes.withColumn("shards", shards("v")), "dealt")
-    flat = split_large(dealt.withColumn("shard", F.explode("shards")))
+    flat = scratch.keep(nodes.select(F.explode(shards("v")).alias("shard"), "node", "v"), "dealt")
+    flat = split_large(flat, scratch)
 
     def build(key, pdf):
         import pandas as pd
@@ -289,14 +297,13 @@ def _search(nodes: DataFrame, least: float, spark) -> DataFrame:
         lists = build_lists(x)
         return pd.DataFrame({"node": ids, "near": [ids[r[r >= 0]] for r in lists]})
 
-    lists = flat.select("shard", "node", "v").groupBy("shard").applyInPandas(build, "node long, near array<long>")
-    united = materialize(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
+    lists = flat.groupBy("shard").applyInPandas(build, "node long, near array<long>")
+    united = scratch.keep(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
 
     def search(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("node").reset_index(drop=True)
-        shard = int(key[0])
         x, ids = unit_rows(np.array(pdf["v"].tolist(), float)), pdf["node"].to_numpy()
         place = {i: k for k, i in enumerate(ids.tolist())}
         local = [{place[j] for j in near if j in place} for near in pdf["near"]]
@@ -306,27 +313,18 @@ def _search(nodes: DataFrame, least: float, spark) -> DataFrame:
         found = range_search(x, [np.array(sorted(s - {i}), np.int64) for i, s in enumerate(local)], least)
         raw = np.array(pdf["v"].tolist(), float)
         norm = np.sqrt((raw * raw).sum(1))
-        exact = [own[(raw[own] @ raw[i]) / (norm[own] * norm[i]) >= least] for i, own in enumerate(found)]
-        # A link counts in both directions if either search found it.
-        both: list[set[int]] = [set(own.tolist()) for own in exact]
-        for i, own in enumerate(exact):
-            for j in own.tolist():
-                both[j].add(i)
-        copies = pdf["copies"].to_numpy()
-        of = [set(s) for s in pdf["shards"].map(list)]
-        n = [int(sum(copies[j] for j in own if min(of[i] & of[j]) == shard)) for i, own in enumerate(both)]
-        roots = _local_roots([np.array(sorted(s), np.int64) for s in both])
-        return pd.DataFrame({"node": ids, "root": ids[roots], "n": np.array(n, np.int64)})
-
-    ready = flat.join(united, "node").select("shard", "node", "v", "near", "copies", "shards")
-    linked = materialize(ready.groupBy("shard").applyInPandas(search, "node long, root long, n long"), "linked")
-    some = linked.where("n > 0").select("node").distinct()
-    dense = flat.where(F.col("shard") == F.array_min("shards")).select("node", "v", "copies", "shards").join(some, "node", "left_semi")
-    return linked.unionByName(compare_cells(dense, least, spark))
+        has = np.zeros(len(ids), bool)
+        for i, own in enumerate(found):
+            own = own[(raw[own] @ raw[i]) / (norm[own] * norm[i]) >= least]
+            has[own] = True
+            has[i] |= len(own) > 0
+        return pd.DataFrame({"node": ids[has]})
 
+    return flat.join(united, "node").groupBy("shard").applyInPandas(search, "node long").distinct()
 
-def compare_block(r_node, r_raw, r_copies, r_shards, v_node, v_raw, v_copies, v_shards, same, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, roots, n) of residents r and visitors v of a block: their links of no common shard, in double precision.
+
+def compare_block(r_node, r_raw, r_copies, v_node, v_raw, v_copies, same, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, roots, n) of residents r and visitors v of a block: their links, in double precision.
 
     same: for each visitor whether the block belongs to its own cell; such a pair counts once, by the order of nodes."""
     r_norm, v_norm = (np.sqrt((x * x).sum(1)) for x in (r_raw, v_raw))
@@ -340,9 +338,6 @@ def compare_block(r_node, r_raw, r_copies, r_shards, v_node, v_raw, v_copies, v_
         hit &= ~same[part, None] | (v_node[part, None] > r_node)
         if not hit.any():
             continue
-        for a in range(v_shards.shape[1]):
-            for b in range(r_shards.shape[1]):
-                hit &= (v_shards[part, a, None] != r_shards[:, b]) | (v_shards[part, a, None] < 0)
         weight = hit.astype(float)
         v_n[part] += weight @ r_copies
         r_n += v_copies[part] @ weight
@@ -355,17 +350,19 @@ def compare_block(r_node, r_raw, r_copies, r_shards, v_node, v_raw, v_copies, v_
     return nodes[own], nodes[label[own]], n[own].astype(np.int64)
 
 
-def compare_cells(rows: DataFrame, least: float, spark) -> DataFrame:
-    """(node, root, n) of the links of no common shard among rows (node, v, copies, shards), none of them lost.
+def compare_cells(rows: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(node, root, n) of the links among rows (node, v, copies), none of them lost: how many rows a node links with, and
+    a node that it is joined with.
 
     Each node belongs to the cell of its nearest centre and visits the cells that can hold a node within the range: its
     distance from the plane between two cells is at most the range's, and so is its distance from the ball of the
     other cell. Of two cells only one's nodes visit the other."""
-    rows = materialize(rows, "cells")
+    spark = scratch.spark
+    rows = scratch.keep(rows, "cells")
     total = rows.count()
     if not total:
         return rows.select("node", F.col("node").alias("root"), F.col("copies").alias("n"))
-    fit = unit_rows(np.array([r["v"] for r in rows.orderBy(F.xxhash64("node", F.lit(SEED))).select("v").limit(FIT_ROWS).collect()]))
+    fit = drawn(rows, FIT_ROWS, SEED)
     centres = k_means(fit, min(-(-total // CELL), max(1, len(fit) // 8)))
     told = spark.sparkContext.broadcast(centres)
 
@@ -376,7 +373,7 @@ def compare_cells(rows: DataFrame, least: float, spark) -> DataFrame:
         near = unit_rows(np.array(v.tolist(), float)) @ told.value.T if len(v) else np.zeros((0, 1))
         return pd.DataFrame({"cell": near.argmax(1), "angle": np.arccos(np.clip(near.max(1), -1, 1))})
 
-    rows = materialize(rows.withColumn("h", home("v")).select("*", "h.cell", "h.angle").drop("h"), "homes")
+    rows = scratch.keep(rows.withColumn("h", home("v")).select("*", "h.cell", "h.angle").drop("h"), "homes")
     sizes, radius = np.zeros(len(centres), np.int64), np.full(len(centres), -10.0)
     for cell, size, angle in rows.groupBy("cell").agg(F.count("*"), F.max("angle")).collect():
         sizes[cell], radius[cell] = size, angle
@@ -399,16 +396,16 @@ def compare_cells(rows: DataFrame, least: float, spark) -> DataFrame:
         turn = ((own[:, None] + at) % 2 == 0) == (own[:, None] < at)
         return pd.Series([np.flatnonzero(x) for x in (fits & turn) | (own[:, None] == at)])
 
-    rows = materialize(rows.withColumn("visits", visits("v", "cell")).drop("angle"), "visits")
+    rows = scratch.keep(rows.withColumn("visits", visits("v", "cell")).drop("angle"), "visits")
     came = {c: n for c, n in rows.select(F.explode("visits").alias("c")).groupBy("c").count().collect()}
     told_cells = [(int(c), max(1, -(-int(n) // BLOCK)), max(1, -(-came.get(c, 0) // VISITORS))) for c, n in enumerate(sizes) if n]
     cells = F.broadcast(spark.createDataFrame(told_cells, "cell long, salts long, parts long"))
     salted = F.pmod(F.xxhash64("node", F.lit(SEED + 4)), "salts").alias("salt")
-    residents = rows.join(cells, "cell").select("cell", salted, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "node", "v", "copies", "shards")
+    residents = rows.join(cells, "cell").select("cell", salted, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "node", "v", "copies")
     # New names, so that the two sides of the cogroup are told apart.
     visitors = rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumnRenamed("cell", "own").withColumn("cell", F.explode("visits")).join(cells, "cell")
     chunk = F.pmod(F.xxhash64("node", F.lit(SEED + 5)), "parts").alias("part")
-    visitors = visitors.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), chunk, "node", "v", "copies", "shards", (F.col("own") == F.col("cell")).alias("same"))
+    visitors = visitors.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), chunk, "node", "v", "copies", (F.col("own") == F.col("cell")).alias("same"))
 
     def compare(left, right):
         import pandas as pd
@@ -417,10 +414,7 @@ def compare_cells(rows: DataFrame, least: float, spark) -> DataFrame:
             return pd.DataFrame({"node": [], "root": [], "n": []})
         sides = []
         for pdf in (left, right):
-            shards = np.full((len(pdf), max(1, max(map(len, pdf["shards"])))), -1, np.int64)
-            for i, own in enumerate(pdf["shards"]):
-                shards[i, : len(own)] = own
-            sides += [pdf["node"].to_numpy(), np.array(pdf["v"].tolist(), float), pdf["copies"].to_numpy(float), shards]
+            sides += [pdf["node"].to_numpy(), np.array(pdf["v"].tolist(), float), pdf["copies"].to_numpy(float)]
         node, root, n = compare_block(*sides, right["same"].to_numpy(bool), least)
         return pd.DataFrame({"node": node, "root": root, "n": n})
 
@@ -429,8 +423,12 @@ def compare_cells(rows: DataFrame, least: float, spark) -> DataFrame:
 
 
 def audit(nodes: DataFrame, linked: DataFrame, least: float) -> float:
-    """Share of the true links of AUDIT_ROWS nodes that were found: these nodes against all, in blocks."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(SEED + 1))).select("node", "v").limit(AUDIT_ROWS).collect()
+    """Share of the true links that were found of up to AUDIT_ROWS nodes with links and as many of all: these nodes against
+    all, in blocks. 1 where they have no link."""
+    h = F.xxhash64("node", F.lit(SEED + 1))
+    some = linked.where("n > 0").select("node").distinct()
+    asked = [r for x in (nodes, nodes.join(some, "node", "left_semi")) for r in x.orderBy(h).select("node", "v").limit(AUDIT_ROWS).collect()]
+    asked = list({r["node"]: r for r in asked}.values())
     told = nodes.sparkSession.sparkContext.broadcast([(r["node"], np.array(r["v"])) for r in asked])
 
     @F.pandas_udf("array<long>")

@@ -3,7 +3,8 @@
 Pass one builds a Bloom filter of the slots that were hit at least twice, as bitmaps that meet in a tree of merges.
 Pass two tests each row: rows with a slot hit only once cannot have a copy and pass straight through; only the rest
 shuffle, and an exact comparison of their SHA-256 settles them. A false positive costs a shuffled row of some 80
-bytes, never a wrong answer, so the filter's size has a fixed bound whatever the corpus.
+bytes, never a wrong answer: the filter grows with the rows up to a fixed bound. A text that a large share of all rows
+have gets its group by broadcast, so its rows do not meet in one task.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ascii_lower
-from inkwell.session import load, materialize
+from inkwell.llm.common import ascii_lower, attach
+from inkwell.session import Scratch, load
 
-#: Slots a row, slots tested a row, and the bound of the filter: 2**29 slots are 64 MB, however many rows there are.
-SLOTS_PER_ROW, PROBES, MAX_LOG_SLOTS, MIN_LOG_SLOTS = 16, 2, 29, 16
+#: Slots a row, slots tested a row, and the bound of the filter: 2**31 slots are 256 MB, enough for 2**27 rows at
+#: 16 slots each; beyond it the slots a row fall, false positives grow, and more rows of 80 bytes shuffle.
+SLOTS_PER_ROW, PROBES, MAX_LOG_SLOTS, MIN_LOG_SLOTS = 16, 2, 31, 16
 #: The filter is built in pieces of so many slots (16 KB of bitmap).
 PIECE = 1 << 17
 
@@ -47,7 +49,7 @@ def _merge(parts: list[bytes]) -> bytes:
     return _pack(once, twice)
 
 
-def repeated_slots(hashes: DataFrame, log_slots: int, fan_in: int = 32) -> bytes:
+def repeated_slots(hashes: DataFrame, log_slots: int, fan_in: int = 32, scratch: Scratch | None = None) -> bytes:
     """The bitmap of slots hit by two rows or more, of 2**log_slots bits. hashes: one column h (bigint).
 
     A task sends compressed pieces of its bitmaps, groups of fan_in tasks merge theirs, and so on: no task ever
@@ -81,7 +83,7 @@ def repeated_slots(hashes: DataFrame, log_slots: int, fan_in: int = 32) -> bytes
         return pd.DataFrame({"piece": [key[0]], "part": [key[1]], "bits": [_merge(list(pdf["bits"]))]})
 
     schema = "piece long, part long, bits binary"
-    parts = materialize(hashes.mapInArrow(build, schema), "bloom")
+    parts = (scratch or Scratch(hashes.sparkSession)).keep(hashes.mapInArrow(build, schema), "bloom")
     width = hashes.rdd.getNumPartitions()
     while width > 1:
         parts = parts.withColumn("part", F.expr(f"part div {fan_in}"))
@@ -106,11 +108,12 @@ def exact_dedup(docs: DataFrame, text: Column | None = None, id_col: str = "doc_
     """
     norm = ascii_lower(F.col("text") if text is None else text)
     narrow = docs.select(F.col(id_col).alias("id"), F.sha2(F.encode(norm, "UTF-8"), 256).alias("sha"))
-    narrow = materialize(narrow, "sha").withColumn("h", F.xxhash64("sha"))
+    scratch = Scratch(docs.sparkSession)
+    narrow = scratch.keep(narrow, "sha").withColumn("h", F.xxhash64("sha"))
     rows = narrow.count()
     log_slots = min(MAX_LOG_SLOTS, max(MIN_LOG_SLOTS, int(np.ceil(np.log2(max(1, rows) * SLOTS_PER_ROW)))))
     log_slots = max(log_slots, PIECE.bit_length() - 1)
-    bitmap = narrow.sparkSession.sparkContext.broadcast(repeated_slots(narrow.select("h"), log_slots))
+    bitmap = narrow.sparkSession.sparkContext.broadcast(repeated_slots(narrow.select("h"), log_slots, scratch=scratch))
 
     @F.pandas_udf("boolean")
     def maybe_repeated(h):
@@ -122,9 +125,11 @@ def exact_dedup(docs: DataFrame, text: Column | None = None, id_col: str = "doc_
             hit &= (bits[s >> 3] & (128 >> (s & 7)).astype(np.uint8)) > 0
         return pd.Series(hit)
 
-    tested = materialize(narrow.withColumn("again", maybe_repeated("h")).drop("h"), "tested")
+    tested = scratch.keep(narrow.withColumn("again", maybe_repeated("h")).drop("h"), "tested")
+    scratch.drop("sha", "bloom")
     groups = tested.where("again").groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    again = tested.where("again").join(groups, "sha")
+    groups = scratch.keep(groups, "groups")
+    again = attach(tested.where("again").drop("again"), groups, "sha")
     alone = tested.where("not again").select("*", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     out = again.select("id", "keep_id", "group_size", "sha").unionByName(alone.drop("again"))
     kept = F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")

@@ -2,7 +2,8 @@
 
 A logistic model over text statistics gives each document's evidence. Grouped aggregation turns the evidence into
 posteriors of hosts and of paths below them: sparse hosts shrink toward the global rate, sparse paths toward their
-host, by strengths estimated from the spread between sites. A document's own evidence is left out of its sites'.
+host, by strengths estimated from the spread of sites about the mean of the level above. Labelled documents count in their
+sites by their label. A document's own evidence is left out of its sites'.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from inkwell.session import load, materialize
+from inkwell.llm.common import attach
+from inkwell.session import Scratch, load
 
 #: Labelled rows that the logistic model is fitted on at most: those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -93,32 +95,51 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def between_strength(sites: DataFrame, rate: float) -> float:
+def between_strength(sites: DataFrame) -> float:
     """Prior weight, in documents, of the level above: from the spread of site means beyond what chance gives.
 
-    sites: n, s. By the method of moments for a beta-binomial; within 1 and 1e6."""
+    sites: n, s, about (the mean of the level above). By the method of moments for a beta-binomial whose sites have the
+    mean of their own level above, so the spread of hosts does not count again in that of their paths; within 1 and 1e6.
+    """
     m = F.col("s") / F.col("n")
-    k, n, nn, q = sites.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * (m - rate) ** 2)).first()
+    noise = F.avg(F.col("about") * (1 - F.col("about")))
+    k, n, nn, q, noise = sites.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * (m - F.col("about")) ** 2), noise).first()
     if not k or k < 2 or n - nn / n <= 0:
         return 1e6
-    noise = rate * (1 - rate)
     spread = max(1e-12, (q - (k - 1) * noise) / (n - nn / n))
     return float(min(1e6, max(1.0, noise / spread - 1)))
 
 
+def sample_of(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows (h, x, y): those of the smallest hashes h. A threshold on h first keeps all but about twice that
+    many rows from leaving their tasks, however many tasks there are."""
+    total = rows.count()
+    if total > 4 * most:
+        span = 2**64 * (2 * most / total)
+        rows = rows.where(F.col("h") < F.lit(int(-(2**63) + span)))
+    return rows.orderBy("h", "x").limit(most)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path: Column | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id_col, doc_score, host_posterior, path_posterior, quality, keep.
 
-    labels: (doc_id, quality); repeated labels of an id are averaged, null ones ignored. path: a site below the host,
-    the lang by default. Null hosts and paths are sites of their own, null texts are empty; repeated rows each count;
-    very long texts are read whole; other columns are not read. Without labels of both classes no document is told
-    from another: every doc_score is 0.5 and all are kept. An empty table gives an empty result.
+    labels: (doc_id, quality); repeated labels of an id are averaged, null ones ignored. path: a site below the host.
+    The corpus has no URLs, so the default host is its source and the default path the lang below it. Null hosts and
+    paths are sites of their own, null texts are empty; repeated rows each count; very long texts are read whole; ties
+    at the cut of the fitted rows go by hash, then features; other columns are not read. Without labels of both
+    classes no document is told from another: every doc_score is 0.5 and all are kept. An empty table gives an empty
+    result.
+
+    A document's evidence in its sites is its label where it has one, else its doc_score; it is left out of the
+    posteriors that it is scored with.
     """
+    scratch = Scratch(docs.sparkSession)
     where = F.coalesce(F.col("lang") if path is None else path, F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), "text", F.coalesce(F.col(host_col), F.lit("")).alias("host"), where.alias("path"))
-    own = materialize(with_features(own), "features")
+    own = scratch.keep(with_features(own), "features")
     y = labels.where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    fit = own.join(y, "id").select(F.xxhash64("id").alias("h"), "x", "y").orderBy("h", "x").limit(FIT_ROWS).toPandas()
+    told = own.join(y, "id").select(F.xxhash64("id").alias("h"), "x", "y")
+    fit = sample_of(scratch.keep(told, "labelled"), FIT_ROWS).toPandas()
     classes = set(fit["y"])
     if len(classes) == 2:
         centre, scale, w = fit_logistic(np.array(fit["x"].tolist(), float), fit["y"].to_numpy(float))
@@ -132,22 +153,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source",
         z = design(np.array(x.tolist(), float).reshape(-1, len(FEATURES)), centre, scale) @ w
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    p = materialize(own.select("id", "host", "path", evidence("x").alias("p")), "evidence")
-    paths = materialize(p.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("p", 9)).alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    total, soft = paths.agg(F.sum("n"), F.sum("s")).first()
+    p = own.select("id", "host", "path", evidence("x").alias("p")).join(y, "id", "left") if len(classes) == 2 else own.select("id", "host", "path", F.lit(0.5).alias("p"), F.lit(None).cast("double").alias("y"))
+    p = scratch.keep(p.select("id", "host", "path", "p", F.round(F.coalesce("y", "p"), 9).alias("v")), "evidence")
+    paths = scratch.keep(p.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("v").alias("s")), "paths")
+    hosts = scratch.keep(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s")), "hosts")
+    total, soft = hosts.agg(F.sum("host_n"), F.sum("host_s")).first()
     rate = min(1 - LEAST_P, max(LEAST_P, (soft or 0.0) / (total or 1)))
-    host_k = between_strength(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s")), rate)
-    path_k = between_strength(paths, rate)
-    out = p.join(paths.join(hosts, "host"), ["host", "path"])
-    v = F.round("p", 9)
-    host_post = (F.col("host_s") - v + host_k * rate) / (F.col("host_n") - 1 + host_k)
-    path_post = (F.col("s") - v + path_k * F.col("host_posterior")) / (F.col("n") - 1 + path_k)
+    host_k = between_strength(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s"), F.lit(rate).alias("about")))
+    path_k = between_strength(paths.join(hosts, "host").select("n", "s", (F.col("host_s") / F.col("host_n")).alias("about")))
+    sites = paths.join(hosts, "host").withColumn("site", F.struct("host", "path")).drop("host", "path")
+    out = attach(p.withColumn("site", F.struct("host", "path")), sites, "site")
+    host_post = (F.col("host_s") - F.col("v") + host_k * rate) / (F.col("host_n") - 1 + host_k)
+    path_post = (F.col("s") - F.col("v") + path_k * F.col("host_posterior")) / (F.col("n") - 1 + path_k)
     out = out.withColumn("host_posterior", host_post).withColumn("path_posterior", path_post)
     told = logit(F.col("p")) + logit(F.col("path_posterior")) - logit(F.lit(rate))
     quality = F.lit(0.5) if len(classes) < 2 else 1 / (1 + F.exp(-told))
     out = out.withColumn("quality", quality)
-    return out.select(F.col("id").alias(id_col), F.col("p").alias("doc_score"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= KEEP_FROM).alias("keep"))
+    out = out.select(F.col("id").alias(id_col), F.col("p").alias("doc_score"), "host_posterior", "path_posterior", "quality", (F.col("quality") >= KEEP_FROM).alias("keep"))
+    out = scratch.keep(out, "scored")
+    scratch.drop(but="scored")
+    return out
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -156,6 +181,7 @@ def op1_quality_classifier(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline: documents of low quality go."""
+    """Pipeline: documents of low quality go. It decides by id: of rows that share one, or have none, all stay where one
+    does."""
     kept = score_quality(docs, load(spark, sf_dir, "labels")).where("keep").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)

@@ -33,7 +33,8 @@ def centroids(vectors: DataFrame, group: str, vec_col: str) -> DataFrame:
 
 def mean_centred(long: DataFrame, id_col: str) -> DataFrame:
     """Without the collection's mean, of unit length."""
-    return unit(long.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("dim"))), id_col)
+    mean = long.groupBy("dim").agg(F.avg("x").alias("mean"))
+    return unit(long.join(mean, "dim").withColumn("x", F.col("x") - F.col("mean")).drop("mean"), id_col)
 
 
 def pair_similarity(long: DataFrame, id_col: str) -> DataFrame:
@@ -64,7 +65,7 @@ def class_tfidf(counts: DataFrame) -> DataFrame:
     mean = total.agg(F.avg("total").alias("mean"))
     f = counts.groupBy("term").agg(F.sum("n").alias("f"))
     w = F.col("n") / F.col("total") * F.log(1 + F.col("mean") / F.col("f"))
-    return counts.join(f, "term").join(F.broadcast(total), "cls").crossJoin(F.broadcast(mean)).select("cls", "term", "n", w.alias("weight"))
+    return counts.join(f, "term").join(total, "cls").crossJoin(F.broadcast(mean)).select("cls", "term", "n", w.alias("weight"))
 
 
 def grams(docs: DataFrame, cls: Column, tokens: Column) -> DataFrame:

@@ -121,6 +121,14 @@ def min_max(value: Column, over, flat: str = "sign") -> Column:
     return F.when(high > low, (value - low) / (high - low)).otherwise(same)
 
 
+def min_max_all(df: DataFrame, col: str, flat: str = "sign") -> Column:
+    """min_max over a whole table: its bounds are one aggregate row, collected, so no window gathers the rows."""
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    if low is None or not high > low:
+        return F.lit(1.0) if flat == "one" else F.when(F.col(col) > 0, 1.0).otherwise(0.0)
+    return (F.col(col) - low) / (high - low)
+
+
 def rank_candidates(scored: DataFrame, limit: int = 20, vectors: bool = True) -> DataFrame:
     """final and rank from lexical, semantic, recency, impact in 0..1; ties by id."""
     w = WITH_VECTORS if vectors else WITHOUT

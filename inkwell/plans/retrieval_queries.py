@@ -123,13 +123,10 @@ y AS (SELECT id, round(lexical, 6) AS lexical, round(recency, 6) AS recency, rou
 z AS (SELECT *, round(lexical * 0.65 + 0 + recency * 0.20 + impact * 0.15, 9) AS final FROM y)
 SELECT id, lexical, recency, impact, final, row_number() OVER (ORDER BY final DESC, id) AS rank FROM z QUALIFY rank <= 20""")
 def rank_candidates(spark, sf):
-    from pyspark.sql import Window
-
-    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), ((F.lit(915148800) - F.unix_timestamp("o_orderdate")) / 31557600.0).alias("age"), "o_totalprice")
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), ((F.lit(915148800) - F.unix_timestamp("o_orderdate")) / 31557600.0).alias("age"), F.log1p("o_totalprice").alias("cited"))
     x = _lex(spark, sf).join(o, "id")
-    every = Window.partitionBy()
-    impact = F.log1p("o_totalprice") / F.max(F.log1p("o_totalprice")).over(every)
-    x = x.select("id", F.round(retrieval.min_max(F.col("score"), every), 6).alias("lexical"), F.lit(0.0).alias("semantic"), F.round(retrieval.recency(F.col("age")), 6).alias("recency"), F.round(impact, 6).alias("impact"))
+    impact = F.col("cited") / F.lit(x.agg(F.max("cited")).first()[0])
+    x = x.select("id", F.round(retrieval.min_max_all(x, "score"), 6).alias("lexical"), F.lit(0.0).alias("semantic"), F.round(retrieval.recency(F.col("age")), 6).alias("recency"), F.round(impact, 6).alias("impact"))
     return retrieval.rank_candidates(x, vectors=False).drop("semantic")
 
 
@@ -148,9 +145,9 @@ def mean_centred_similarity(spark, sf):
     return mining.pair_similarity(mining.mean_centred(c, "label"), "label").withColumn("sim", F.round("sim", 6))
 
 
-@query("silhouette", """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 300),
+@query("silhouette", """WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT a.id, a.label, b.label AS other, count(*) AS n, sum(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) AS s FROM e a JOIN e b ON a.id <> b.id GROUP BY ALL),
 m AS (SELECT id, max(CASE WHEN label = other THEN s / n END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b FROM p GROUP BY id)
-SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m""".replace(" WHERE vec_id < 300", ""))
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM m""")
 def silhouette(spark, sf):
     return mining.silhouette(load(spark, sf, "embeddings"), "vec_id", "label", "embedding").select(F.round("silhouette", 6).alias("silhouette"))

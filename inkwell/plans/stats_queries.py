@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators import mining, retrieval, sequence, stats
-from inkwell.session import load
+from inkwell.session import load, materialize, spread
 
 QUERIES, SQL = {}, {}
 
@@ -220,7 +220,7 @@ _COUNTS = f"WITH {_WORDS}, t AS (SELECT doc_id, list(lower(word) ORDER BY pos) A
 
 def _counts(spark, sf):
     d = load(spark, sf, "documents")
-    return mining.grams(d, F.col("lang"), T.terms(F.col("text")))
+    return materialize(mining.grams(spread(d.select("lang", "text")), F.col("lang"), T.terms(F.col("text"))), "grams")
 
 
 @query("class_tfidf", _COUNTS + ", x AS (SELECT cls, term, n, n / sum(n) OVER (PARTITION BY cls) AS share, sum(n) OVER (PARTITION BY term) AS f FROM c), m AS (SELECT avg(t) AS mean FROM (SELECT sum(n) AS t FROM c GROUP BY cls)) SELECT cls, term, round(share * ln(1 + mean / f), 9) AS weight FROM x, m QUALIFY row_number() OVER (PARTITION BY cls ORDER BY round(share * ln(1 + mean / f), 9) DESC, term) <= 8")

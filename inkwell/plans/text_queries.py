@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators import segment, sequence, summarize
-from inkwell.session import load
+from inkwell.session import load, spread
 from inkwell.sources import files, identifiers, records
 
 QUERIES, SQL = {}, {}
@@ -120,9 +120,8 @@ def finding_keys(spark, sf):
 
 
 def sentence_rows(spark, sf):
-    """doc_id, section_id, section_title, section_kind, id, index, text of every document's sentences. Rows are dealt anew
-    first: a file of one row group would otherwise be split by one task."""
-    return segment.segment(segment.document_sections(_docs(spark, sf).repartition(spark.sparkContext.defaultParallelism)))
+    """doc_id, section_id, section_title, section_kind, id, index, text of every document's sentences."""
+    return segment.segment(segment.document_sections(spread(_docs(spark, sf))))
 
 
 @query("document_outline", """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -156,7 +155,7 @@ def summaries(spark, sf):
 
 @query("keyphrases")
 def keyphrases(spark, sf):
-    return summarize.keyphrases(_docs(spark, sf))
+    return summarize.keyphrases(spread(_docs(spark, sf)))
 
 
 @query("stemmed_terms")

@@ -42,6 +42,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew where it has fewer partitions than there are cores, as a file of one row group has; else as it is, so
+    a large table does not move."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir. Where it is unset, a local session, whose driver and
     executors are one process, gets a temporary one, and any other session an error."""

@@ -172,3 +172,86 @@ def self_citation(spark, sf):
     c = load(spark, sf, "customer").select(F.col("c_nationkey").alias("doc"), F.lower("c_mktsegment").alias("authors"))
     p = c.select("doc").distinct().withColumn("authors", F.array(F.lit("A Building"), F.lit("B Machinery")))
     return briefing.self_citation(p, c).withColumn("rate", F.round("rate", 9))
+
+
+#: Signals of made-up documents, one an order: a count is (key * a + b) div 7 mod m. Every rule of the review fires on some.
+_COUNTED = {
+    "statistics": (3, 1, 3), "seeds": (5, 2, 2), "ablation": (11, 3, 5), "baseline": (13, 4, 6), "sota": (17, 5, 3), "compute": (19, 6, 2), "hyper": (23, 7, 5), "human": (29, 8, 4), "generation": (31, 9, 4),
+    "judge": (37, 10, 2), "contamination": (41, 11, 2), "webscale": (43, 12, 2), "general": (47, 13, 2), "training": (53, 14, 2), "efficiency": (59, 15, 2), "errors": (61, 16, 4), "booster": (67, 17, 7), "code": (71, 18, 2),
+    "repository": (73, 19, 2), "data_link": (79, 20, 2), "claim": (83, 21, 30), "result_sentences": (89, 22, 9), "contribution_sentences": (97, 23, 2), "limitation_sentences": (101, 24, 4), "future_sentences": (103, 25, 3),
+    "unbacked": (107, 26, 3), "sample": (109, 27, 200), "words": (113, 28, 6000), "references": (127, 29, 30), "dated": (131, 30, 20), "median_age": (137, 31, 14), "recent": (139, 32, 10), "own": (149, 33, 10), "n_data": (151, 34, 5),
+    "n_metrics": (157, 35, 3), "lim": (163, 36, 2), "rel": (167, 37, 2), "abl": (173, 38, 3), "people": (179, 39, 2), "full": (181, 40, 8),
+}
+_MADE = ", ".join(f"((o_orderkey * {a} + {b}) // 7) % {m} AS {k}" for k, (a, b, m) in _COUNTED.items())
+
+
+def made_signals(spark, sf):
+    x = load(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), *[F.expr(f"((o_orderkey * {a} + {b}) div 7) % {m}").alias(k) for k, (a, b, m) in _COUNTED.items()])
+    data, scores = F.array(*map(F.lit, ("GSM8K", "MATH", "COCO", "SQuAD"))), F.array(*map(F.lit, ("accuracy", "f1")))
+    return x.select(
+        "*", F.slice(data, F.lit(1), F.col("n_data").cast("int")).alias("datasets"), F.slice(scores, F.lit(1), F.col("n_metrics").cast("int")).alias("metrics"), (F.col("lim") == 1).alias("limitations_section"), (F.col("rel") == 1).alias("related_section"),
+        (F.col("abl") == 1).alias("ablation_section"), (F.col("people") == 1).alias("sample_of_people"), (F.col("full") > 0).alias("full_text"), F.when(F.col("sample") >= 2, F.col("sample")).alias("least_sample"),
+        (F.col("recent") / 10).alias("recent_share"), (F.col("own") / 10).alias("self_share"),
+    )
+
+
+_RULES = [
+    ("abstract-only", "'minor'", "NOT ft"), ("variance-reported", "'strength'", "statistics > 0"), ("variance-hidden", "'moderate'", "fe AND statistics = 0 AND seeds > 0"), ("no-variance", "'major'", "fe AND statistics = 0 AND seeds = 0"),
+    ("ablations", "'strength'", "ablation >= 3 OR abl = 1"), ("thin-ablation", "'minor'", "fe AND contribution_sentences > 0 AND abl <> 1 AND ablation IN (1, 2)"),
+    ("no-ablation", "CASE WHEN result_sentences >= 6 THEN 'major' ELSE 'moderate' END", "fe AND contribution_sentences > 0 AND abl <> 1 AND ablation = 0"), ("broad-evaluation", "'strength'", "n_data >= 3"),
+    ("no-benchmark", "'moderate'", "fe AND n_data = 0"), ("narrow-evaluation", "CASE WHEN n_data = 1 AND general > 0 THEN 'major' ELSE 'moderate' END", "n_data = 1 OR (n_data = 2 AND general > 0)"), ("baselines", "'strength'", "sota >= 1 AND baseline >= 4"),
+    ("no-baselines", "'major'", "fe AND baseline = 0"), ("few-baselines", "'moderate'", "fe AND baseline IN (1, 2) AND sota = 0"), ("sota-without-stats", "CASE WHEN ft THEN 'moderate' ELSE 'minor' END", "sota > 0 AND statistics = 0"),
+    ("significance-wording", "'minor'", "ft AND unbacked > 0 AND statistics = 0"), ("overclaiming", "CASE WHEN booster >= 3 AND rate >= 0.12 AND ft THEN 'moderate' ELSE 'minor' END", "booster >= 2 AND (rate >= 0.12 OR booster >= 5)"),
+    ("code-released", "'strength'", "repository > 0"), ("code-promised", "'minor'", "ft AND code > 0 AND repository = 0"), ("no-code", "'moderate'", "fe AND code = 0 AND repository = 0"), ("setup-documented", "'strength'", "ft AND compute >= 1 AND hyper >= 3"),
+    ("no-compute", "'moderate'", "ft AND (training > 0 OR efficiency > 0) AND compute = 0"), ("no-hyperparameters", "'moderate'", "ft AND training > 0 AND hyper = 0"), ("candid-limitations", "'strength'", "lim = 1 AND limitation_sentences >= 2"),
+    ("no-limitations", "'moderate'", "ft AND lim <> 1 AND limitation_sentences = 0"), ("limitations-in-passing", "'minor'", "ft AND lim <> 1 AND limitation_sentences = 1"),
+    ("small-sample", "CASE WHEN ft AND (people = 1 OR sample < 50) THEN 'moderate' ELSE 'minor' END", "sample >= 2 AND sample < CASE WHEN people = 1 THEN 30 ELSE 100 END"), ("human-evaluation", "'strength'", "human > 0"),
+    ("llm-judge-only", "'moderate'", "ft AND generation >= 2 AND human = 0 AND judge > 0"), ("no-human-eval", "'moderate'", "ft AND generation >= 2 AND human = 0 AND judge = 0 AND n_metrics > 0"), ("no-related-work", "'moderate'", "ft AND rel <> 1"),
+    ("dated-references", "'minor'", "ft AND dated >= 10 AND median_age > 8 AND recent < 2"), ("few-references", "'minor'", "ft AND \"references\" BETWEEN 1 AND 14 AND words > 3000"), ("self-citation", "'minor'", "ft AND own > 3"),
+    ("no-contamination-check", "'minor'", "ft AND webscale > 0 AND n_data > 0 AND contamination = 0"), ("error-analysis", "'strength'", "ft AND errors >= 2"), ("no-error-analysis", "'minor'", "fe AND errors = 0 AND result_sentences >= 5"),
+]
+_SIGNALS = f"s AS (SELECT o_orderkey AS doc_id, {_MADE.replace('AS references', 'AS {q}references{q}').replace('{q}', chr(34))} FROM orders), x AS (SELECT *, \"full\" > 0 AS ft, \"full\" > 0 AND (result_sentences >= 3 OR (n_metrics > 0 AND n_data > 0)) AS fe, booster / greatest(1, claim) AS rate FROM s)"
+_SIGNALS = _SIGNALS.replace("AS full,", 'AS "full",').replace("AS full FROM", 'AS "full" FROM')
+
+
+@query("finding_rules", f"WITH {_SIGNALS}, f AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS rule, '{n}' AS id, {sev} AS severity FROM x WHERE {cond}" for i, (n, sev, cond) in enumerate(_RULES)) + ") SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position(['major', 'moderate', 'minor', 'strength'], severity), rule) AS position, id, severity FROM f")
+def finding_rules(spark, sf):
+    """All 36 findings over made-up signals, gravest first."""
+    return review.findings(made_signals(spark, sf)).select("doc_id", "position", "id", "severity")
+
+
+_CREDIT = "(CASE WHEN {0} > 0 THEN 1 - pow(2.0, -({0}) / {1}::DOUBLE) ELSE 0.0 END)"
+
+
+def _c(x, half):
+    return _CREDIT.format(x, half)
+
+
+_AXES = {
+    "empirical": f"50 * {_c('n_data', 2)} + 25 * {_c('n_metrics', 2)} + 25 * {_c('result_sentences', 4)}",
+    "baselines": f"60 * {_c('baseline', 3)} + 40 * {_c('sota', 3)}",
+    "ablation": f"70 * {_c('ablation', 2)} + 30 * (abl = 1)::INT",
+    "statistics": f"60 * {_c('statistics', 1.5)} + 25 * {_c('seeds', 1)} + 15 * (sample >= 2)::INT",
+    "reproducibility": f"40 * (CASE WHEN repository > 0 THEN 1.0 WHEN code > 0 THEN 0.5 ELSE 0.0 END) + 25 * {_c('hyper', 2)} + 20 * {_c('compute', 1)} + 15 * (data_link > 0 OR n_data > 0)::INT",
+    "transparency": f"30 * (lim = 1)::INT + 30 * {_c('limitation_sentences', 2)} + 10 * {_c('future_sentences', 1)} + 30 * (CASE WHEN claim = 0 THEN 0.5 ELSE greatest(0.0, 1 - booster / greatest(1, claim) / 0.25::DOUBLE) END)",
+    "scholarship": f"50 * {_c(chr(34) + 'references' + chr(34), 20)} + 30 * least(1.0, recent / 10 / 0.25::DOUBLE) + 20 * (rel = 1)::INT",
+}
+_WEIGHTED = " + ".join(f"axis_{k} * {w}::DOUBLE" for k, w in review.WEIGHTS.items())
+
+
+@query("rigor_axes", f"WITH {_SIGNALS}, a AS (SELECT doc_id, " + ", ".join(f"floor({v} + 0.5)::INT AS axis_{k}" for k, v in _AXES.items()) + f" FROM x), o AS (SELECT *, floor({_WEIGHTED} + 0.5)::INT AS overall FROM a) SELECT *, CASE WHEN overall >= 80 THEN 'A' WHEN overall >= 65 THEN 'B' WHEN overall >= 50 THEN 'C' ELSE 'D' END AS grade FROM o")
+def rigor_axes(spark, sf):
+    """The seven axes, their weighted sum and its grade over made-up signals."""
+    return review.rigor(made_signals(spark, sf))
+
+
+@query("review_verdicts", f"WITH {_SIGNALS}, f AS (" + " UNION ALL ".join(f"SELECT doc_id, {sev} AS severity FROM x WHERE {cond}" for _, sev, cond in _RULES) + "), n AS (SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in review.SEVERITIES) + " FROM f GROUP BY 1) SELECT *, CASE WHEN major >= 2 THEN 'major concerns' WHEN major = 1 OR moderate >= 3 THEN 'needs work' WHEN moderate > 0 THEN 'sound with gaps' ELSE 'sound' END AS verdict FROM n")
+def review_verdicts(spark, sf):
+    return review.verdicts(review.findings(made_signals(spark, sf)))
+
+
+@query("follow_up_rules", f"""WITH {_SIGNALS}, q AS (SELECT doc_id, list_filter([CASE WHEN n_data > 0 THEN 'How does it do on GSM8K?' END, CASE WHEN ablation = 0 THEN 'Which component matters most?' END,
+CASE WHEN statistics = 0 THEN 'How much do results vary between runs?' END, CASE WHEN limitation_sentences > 0 THEN 'What are the limitations?' END, CASE WHEN compute = 0 THEN 'What compute does training take?' END,
+CASE WHEN future_sentences > 0 THEN 'What do the authors plan next?' END, 'What is the main contribution?'], lambda x: x IS NOT NULL) AS q FROM x) SELECT doc_id, generate_subscripts(q, 1) - 1 AS position, unnest(q) AS question FROM q""")
+def follow_up_rules(spark, sf):
+    return briefing.follow_ups(made_signals(spark, sf))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import load, materialize
+from inkwell.session import Scratch, load
 
 #: Hashed dimensions of a document vector, dimensions of the curve and bits of each.
 HASHED, DIMS, BITS = 4096, 4, 10
@@ -96,6 +96,10 @@ def tokenizer(name: str, pattern_file: str):
     return encode
 
 
+#: Tokens that a partition of the curve holds about, and those from which on another core is worth a partition.
+PART_TOKENS, SMALL_TOKENS = 1 << 25, 1 << 19
+
+
 def lay_out(lengths: np.ndarray, size: int, first: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Cuts a stream of documents of the given lengths into full sequences of size tokens; what is left at the end is
     cut into sequences whose lengths are powers of two. (document, start, length, sequence, offset) of each piece."""
@@ -127,18 +131,23 @@ def curve_pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = 102
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(json_path, ranks_path)
         for b in batches:
-            texts, ids, points = b.column(1).to_pylist(), [], []
+            texts, ids, points, sizes = b.column(1).to_pylist(), [], [], []
             for t in texts:
-                x = own(t or "")
-                points.append(project(x))
-                ids.append(np.append(x, 0).astype("<u2").tobytes())
+                x = np.append(own(t or ""), 0)
+                points.append(project(x[:-1]))
+                # Two bytes an id where all of a document's ids fit, else four.
+                sizes.append(len(x))
+                ids.append(x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes())
             keys = hilbert_key(cells(np.array(points).reshape(-1, DIMS)))
-            cols = {"id": b.column(0), "key": pa.array(keys, pa.int64()), "ids": pa.array(ids, pa.binary())}
+            cols = {"id": b.column(0), "key": pa.array(keys, pa.int64()), "n": pa.array(sizes, pa.int64()), "ids": pa.array(ids, pa.binary())}
             yield pa.RecordBatch.from_pydict(cols)
 
-    coded = docs.select(id_col, text_col).mapInArrow(encode, f"id {kind}, key long, ids binary")
-    coded = materialize(coded, "coded")
-    along = coded.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    scratch = Scratch(docs.sparkSession)
+    coded = docs.select(id_col, text_col).mapInArrow(encode, f"id {kind}, key long, n long, ids binary")
+    coded = scratch.keep(coded, "coded")
+    tokens = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(-(-tokens // PART_TOKENS), min(docs.sparkSession.sparkContext.defaultParallelism, tokens // SMALL_TOKENS + 1))
+    along = coded.repartitionByRange(int(parts), "key", "id").sortWithinPartitions("key", "id")
     kinds = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +184,15 @@ def curve_pack(docs: DataFrame, json_path: str, ranks_path: str, size: int = 102
         id_type = pa.int64()
         for b in batches:
             id_type = b.schema.field(0).type
-            for doc, key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                open_docs.append((doc, key, np.frombuffer(ids.as_buffer(), "<u2"), 0))
+            for doc, key, n, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                data = ids.as_buffer()
+                open_docs.append((doc, key, np.frombuffer(data, "<u2" if data.size == 2 * n else "<u4"), 0))
             yield from flush(False)
         yield from flush(True)
 
-    return along.mapInArrow(pack, kinds + (", ids array<int>" if ids_too else ""))
+    packed = scratch.keep(along.mapInArrow(pack, kinds + (", ids array<int>" if ids_too else "")), "packed")
+    scratch.drop("coded")
+    return packed
 
 
 def op4_curve_packing(spark, sf_dir):

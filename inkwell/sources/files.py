@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A document of more bytes is listed with the status "too large" and not read.
 MOST_BYTES = 50 << 20
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, is_pdf, is_html, upload_id of files of up to 50 MB; PDF by its signature in the first KB."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES)
+    """path, bytes, status, is_pdf, is_html, upload_id of every file; PDF by its signature in the first KB. A file beyond
+    MOST_BYTES has a row with the status "too large" and nulls, an empty one the status "empty"; the rest are "ok"."""
+    files = spark.read.format("binaryFile").load(path)
+    status = F.when(F.col("length") > MOST_BYTES, "too large").when(F.col("length") == 0, "empty").otherwise("ok")
+    files = files.withColumn("status", status).withColumn("content", F.when(F.col("status") != "too large", F.col("content")))
     head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
     html = F.lower(F.ltrim(head)).rlike("^(<!doctype html|<html|<head|<body)")
-    return files.select("path", F.col("length").alias("bytes"), head.contains("%PDF-").alias("is_pdf"), html.alias("is_html"), F.substring(F.sha2("content", 256), 1, 12).alias("upload_id"))
+    return files.select("path", F.col("length").alias("bytes"), "status", head.contains("%PDF-").alias("is_pdf"), html.alias("is_html"), F.substring(F.sha2("content", 256), 1, 12).alias("upload_id"))
 
 
 def html_text(c: Column) -> Column:

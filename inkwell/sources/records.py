@@ -20,7 +20,8 @@ OPENALEX = (
 )
 CROSSREF = (
     "message struct<title:array<string>,author:array<struct<given:string,family:string>>,published:struct<`date-parts`:array<array<int>>>,"
-    "issued:struct<`date-parts`:array<array<int>>>,`container-title`:array<string>,event:struct<name:string>,DOI:string,URL:string,"
+    "issued:struct<`date-parts`:array<array<int>>>,`published-online`:struct<`date-parts`:array<array<int>>>,`published-print`:struct<`date-parts`:array<array<int>>>,"
+    "created:struct<`date-parts`:array<array<int>>>,`container-title`:array<string>,event:struct<name:string>,DOI:string,URL:string,"
     "`is-referenced-by-count`:int,abstract:string>"
 )
 SCHOLAR = "externalIds struct<ArXiv:string,DOI:string>, citationCount int, openAccessPdf struct<url:string>"
@@ -79,7 +80,7 @@ def map_openalex(raw: DataFrame, key: str, json: str) -> DataFrame:
 
 def map_crossref(raw: DataFrame, key: str, json: str) -> DataFrame:
     x = raw.select(key, F.from_json(json, CROSSREF)["message"].alias("m"))
-    when = F.coalesce(*[F.when(F.col(f"m.{c}.date-parts")[0][0].isNotNull(), date_of(F.col(f"m.{c}.date-parts"))) for c in ("published", "issued")])
+    when = F.coalesce(*[F.when(F.col(f"m.`{c}`.`date-parts`")[0][0].isNotNull(), date_of(F.col(f"m.`{c}`.`date-parts`"))) for c in ("published", "issued", "published-online", "published-print", "created")])
     names = F.transform("m.author", lambda a: F.concat_ws(" ", a["given"], a["family"]))
     venue = F.coalesce(F.get("m.container-title", F.lit(0)), F.col("m.event.name"))
     return x.select(key, *_meta(title=squeeze(strip_markup(F.get("m.title", F.lit(0)))), authors=names, abstract=strip_markup(F.col("m.abstract")), published=when, year=F.substring(when, 1, 4).cast("int"), venue=venue, citations=F.col("m.is-referenced-by-count"), doi=ids.doi(F.col("m.DOI")), url=F.col("m.URL")))
@@ -108,6 +109,18 @@ def resolve(crossref: DataFrame, openalex: DataFrame, scholar: DataFrame, key: s
     return out.withColumn("citations", F.coalesce("c1", "c2", "citations")).drop("c1", "c2")
 
 
+def resolution(arxiv_typed: Column, arxiv_of_doi: Column, arxiv_linked: Column, arxiv_same_title: Column) -> Column:
+    """The arXiv id of a work and where it came from: what was typed, else what the DOI says, else a link of a record, else
+    the preprint of the same title."""
+    told = [(arxiv_typed, "typed"), (arxiv_of_doi, "doi"), (arxiv_linked, "link"), (arxiv_same_title, "title")]
+    return F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("arxiv"), F.lit(w).alias("via"))) for c, w in told])
+
+
+def version_link(arxiv: Column, version: Column) -> Column:
+    """The link of a preprint's file, pinned to a version where one is known."""
+    return F.concat(F.lit("https://arxiv.org/pdf/"), arxiv, F.coalesce(F.concat(F.lit("v"), version.cast("string")), F.lit("")))
+
+
 def title_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
 

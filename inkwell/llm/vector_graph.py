@@ -126,10 +126,8 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], least: float) -> list[n
         seen = np.zeros((m, n + 1), bool)
         sim = np.full((m, n + 1), -3.0)
         todo = np.zeros((m, n + 1), bool)
-        # The row itself is an entry as well: a graph query for an indexed vector starts beside it too.
-        for entry in (np.full(m, medoid), np.arange(first, first + m)):
-            seen[rows, entry] = todo[rows, entry] = True
-            sim[rows, entry] = np.einsum("nd,nd->n", q, x[entry])
+        seen[:, medoid] = todo[:, medoid] = True
+        sim[:, medoid] = q @ x[medoid]
         active = rows
         while len(active):
             s = np.where(todo[active], sim[active], -4.0)

@@ -83,7 +83,7 @@ def glyph_rows(spark, sf):
     return d.select("doc", page.alias("page"), "text", F.lit(50.0).alias("x"), (row * 14.0 + 50).alias("y"), F.least(F.lit(500.0), F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("size"), (F.length("text") < 40).alias("bold"))
 
 
-@query("document_lines")
+@query("document_lines", "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents), t AS (SELECT doc_id AS doc, n // 50 AS page, n, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM l) SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY n) AS line, text, 0 AS \"column\" FROM t WHERE text <> ''")
 def document_lines(spark, sf):
     return structure.lines_of(glyph_rows(spark, sf)).select("doc", "page", "line", "text", "column")
 

@@ -39,7 +39,7 @@ SLOTS, ROW = 22, 16
 #: Sets of a list that gives its pairs, at most.
 SHORT = 24
 #: Shingles and sets of a block of a zone, about.
-BLOCK, BLOCK_SETS = 1 << 18, 1 << 11
+BLOCK, BLOCK_SETS = 1 << 17, 1 << 10
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -308,12 +308,15 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = postings.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h", "low")
     live = scratch.keep(postings.join(shared, "h").distinct(), "lists")
     scratch.drop("postings")
-    lists = scratch.keep(live.groupBy("h").agg(F.count("*").alias("length")).where(F.col("length") > SHORT).select("h"), "long")
-    same = live.join(lists, "h", "left_semi").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    # Each entry with the length of its list: one join for long and short lists alike.
+    lengths = live.groupBy("h").agg(F.count("*").alias("length"))
+    measured = scratch.keep(live.join(lengths, "h"), "measured")
+    scratch.drop("lists")
+    same = measured.where(F.col("length") > SHORT).select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
     zones = components(scratch, same).select(F.col("id").alias("key"), F.col("component").alias("zone"))
 
     # Pairs of short lists, but for those of one zone.
-    placed = live.join(lists, "h", "left_anti").join(zones, "key", "left").select("h", "key", "n", "pos", "zone")
+    placed = measured.where(F.col("length") <= SHORT).join(zones, "key", "left").select("h", "key", "n", "pos", "zone")
     x, y = (placed.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "pos", "zone")]) for k in "xy")
     fits = (F.col("n_x") * DEN >= F.col("n_y") * NUM) & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
     most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
@@ -323,7 +326,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = x.join(y, (x["h"] == y["h"]) & (x["key_x"] < y["key_y"]) & fits & alike & room & apart)
     pairs = pairs.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(F.sum(F.when(F.col("pos_x") < 0, SCANNED).otherwise(1)).alias("met"))
     pairs = scratch.keep(pairs.where(F.col("met") >= SCANNED).select("a", "b"), "pairs")
-    scratch.drop("lists", "long")
+    scratch.drop("measured")
 
     # The whole sets of all that are compared, from the text of one document each.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(zones.select("key")).distinct()

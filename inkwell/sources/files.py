@@ -11,9 +11,9 @@ MOST_BYTES = 50 << 20
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, status, is_pdf, is_html, upload_id of every file; PDF by its signature in the first KB. A file beyond
-    MOST_BYTES has a row with the status "too large" and nulls, an empty one the status "empty"; the rest are "ok"."""
+    MOST_BYTES has a row with the status "too large" and nulls; the rest are "ok". Spark's reader lists no empty files."""
     files = spark.read.format("binaryFile").load(path)
-    status = F.when(F.col("length") > MOST_BYTES, "too large").when(F.col("length") == 0, "empty").otherwise("ok")
+    status = F.when(F.col("length") > MOST_BYTES, "too large").otherwise("ok")
     files = files.withColumn("status", status).withColumn("content", F.when(F.col("status") != "too large", F.col("content")))
     head = F.decode(F.substring("content", 1, 1024), "ISO-8859-1")
     html = F.lower(F.ltrim(head)).rlike("^(<!doctype html|<html|<head|<body)")

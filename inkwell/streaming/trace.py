@@ -19,5 +19,7 @@ def stream_fold(events: DataFrame, node: list[str], at: str, kind: str, start: s
 
 def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """start, kind, n per tumbling window; rows later than the watermark are dropped and closed windows leave the state."""
-    w = events.withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count("*").alias("n"))
-    return w.select(F.col("window.start").alias("start"), kind, "n")
+    own = events.schema[at].dataType
+    # A watermark needs a time with a zone; the starts come back in the column's own type.
+    w = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count("*").alias("n"))
+    return w.select(F.col("window.start").cast(own).alias("start"), kind, "n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import exact_dedup, language, ngram_join, packing, quality
-from inkwell.session import load, materialize
+from inkwell.session import Scratch, load
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,16 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained models and tokenization are not SQL; the tests hold each stage against a plainer version.
+#: Trained models and tokenization are not SQL; tests/llm/test_brute_force.py holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows. Each stage's table is deleted when the next one's is written."""
+    scratch, docs, before = Scratch(spark), load(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = name
+    return docs

@@ -112,14 +112,16 @@ def rigor_credit(spark, sf):
 
 @query("embedding_clusters")
 def embedding_clusters(spark, sf):
-    """Collections of at most 50 neighbouring vectors, each clustered and mapped."""
+    """Collections of 50 vectors with neighbouring ids, each clustered and mapped. A collection is what a user puts together, so
+    vectors of different ones are not compared."""
     v = load(spark, sf, "embeddings").withColumn("collection", F.expr("vec_id div 50"))
     return mining.cluster_collections(v, "collection", "vec_id", "embedding")
 
 
 @query("consensus_stars")
 def consensus_stars(spark, sf):
-    """Vectors as claims, labels as papers; similar claims of a collection of 100 meet by their coarse cell."""
+    """Vectors as claims, labels as papers; all claims of a collection, 100 vectors with neighbouring ids, are compared with one
+    another, those of different collections are not."""
     from inkwell.operators.retrieval import cosine
 
     v = load(spark, sf, "embeddings").select(F.expr("vec_id div 100").cast("string").alias("collection"), "vec_id", "label", "embedding")

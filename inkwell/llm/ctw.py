@@ -238,7 +238,7 @@ def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     train: boolean column, the rows to learn from. score is the log10 probability of the whole text's bytes and its
     end, A-Z in lower case; -score / log10(2) / n_bytes is the code length in bits per coded byte (n_bytes has the
     end). Base: see the README. Null texts are empty: only an end. Repeated rows are learnt from and scored each;
-    very long texts are scored whole, as a chunk of their own; other columns are not read. Without training rows
+    very long texts are scored whole, and a chunk closes behind one; null ids are scored like others; other columns are not read. Without training rows
     every byte has probability 1/256. An empty table gives an empty result.
     """
     spark = docs.sparkSession

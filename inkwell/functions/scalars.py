@@ -176,3 +176,9 @@ def search_terms(c: Column, most: int = 12) -> Column:
     c = F.regexp_replace(F.lower(c), r"\b[a-z]+:|\b(?:and|or|not|andnot)\b|[^\p{L}\p{N}\s.-]", " ")
     w = F.filter(F.split(F.trim(c), r"\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     return F.array_join(F.slice(w, 1, most), " ")
+
+
+def links_of(c: Column) -> Column:
+    """The distinct links of a text in order, without the punctuation behind them."""
+    found = F.regexp_extract_all(c, F.lit(r"""https?://[^\s"'<>]+"""), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]]+$", "")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkwell.functions import scalars as S
 from inkwell.functions import text as T
 from inkwell.operators import segment, sequence, summarize
 from inkwell.session import load, spread
@@ -88,7 +89,12 @@ def input_kinds(spark, sf):
     return identifiers.parse_inputs(p, "typed").select("page_id", "kind", "url")
 
 
-@query("html_text")
+_HTML = r'''WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&#39;', chr(39)), '&amp;', '&') AS h FROM a)
+SELECT page_id, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM b'''
+
+
+@query("html_text", _HTML)
 def html_text(spark, sf):
     return load(spark, sf, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
@@ -108,10 +114,12 @@ def merged_records(spark, sf):
     return records.merge(s, c, "k").select("k", "title", F.col("citations").alias("score"))
 
 
-@query("extracted_links", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\\s\"''<>)]+')) AS link FROM pages) SELECT DISTINCT page_id, regexp_replace(link, '[.,;:]+$', '') AS link FROM l")
+@query("extracted_links", r"SELECT page_id, regexp_replace(url, '[.,;:!?)\]]+$', '') AS link, 0 AS position FROM pages UNION ALL SELECT page_id, 'https://example.org/p' || page_id, 1 FROM pages")
 def extracted_links(spark, sf):
-    link = F.explode(F.regexp_extract_all("html", F.lit("https?://[^\\s\"'<>)]+"), F.lit(0)))
-    return load(spark, sf, "pages").select("page_id", link.alias("link")).select("page_id", F.regexp_replace("link", "[.,;:]+$", "").alias("link")).distinct()
+    """Links set into a sentence, twice and with punctuation behind them."""
+    other = F.concat(F.lit("https://example.org/p"), F.col("page_id").cast("string"))
+    told = F.concat(F.lit("See "), "url", F.lit(", ("), other, F.lit("); again "), "url", F.lit(' or <a href="'), other, F.lit('">.'))
+    return load(spark, sf, "pages").select("page_id", F.posexplode(S.links_of(told)).alias("position", "link"))
 
 
 @query("finding_keys", "SELECT page_id, trim(regexp_replace(regexp_replace(lower(url), '\\d+(\\.\\d+)?', '#', 'g'), '\\s+', ' ', 'g')) AS key FROM pages")

@@ -22,7 +22,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def html_text(c: Column) -> Column:
     """Visible text: scripts, styles and comments out, tags to blanks, the common entities decoded."""
-    c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
+    c = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", " ")
     c = F.regexp_replace(c, r"<[^>]*>", " ")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(char))

@@ -233,11 +233,10 @@ def _look_up(keys: np.ndarray, *tables) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
+    """One row per input row: id_col, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     train: boolean column, the rows to learn from. score is the log10 probability of the whole text's bytes and its
-    end, A-Z in lower case; -score / log10(2) / n_bytes is the code length in bits per coded byte (n_bytes has the
-    end). Base: see the README. Null texts are empty: only an end. Repeated rows are learnt from and scored each;
+    end, A-Z in lower case; bits_per_byte is the code length per coded byte (n_bytes has the end). Base: see the README. Null texts are empty: only an end. Repeated rows are learnt from and scored each;
     very long texts are scored whole, and a chunk closes behind one; null ids are scored like others; other columns are not read. Without training rows
     every byte has probability 1/256. An empty table gives an empty result.
     """
@@ -316,7 +315,9 @@ def ctw_score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
         names = [c.split()[0] for c in out.split(", ")]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
-    scored = scratch.keep(blobs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, out), "scored")
+    scored = blobs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, out)
+    scored = scored.withColumn("bits_per_byte", -F.col("score") / float(np.log10(2)) / F.col("n_bytes"))
+    scored = scratch.keep(scored, "scored")
     scratch.drop(but="scored")
     return scored
 

@@ -30,12 +30,15 @@ from inkwell.session import Scratch, load
 
 #: Words of a shingle; the similarity is NUM / DEN.
 WORDS, NUM, DEN = 5, 4, 5
-#: Hashes that a task counts at a time; sets of BOUNDARY_MOST shingles and more are always heavy.
-CHUNK, BOUNDARY_MOST = 1 << 22, 200
+#: Hashes that a task counts at a time; sets of BOUNDARY_MOST shingles and more are always heavy; texts that are taken out of
+#: a batch at a time.
+CHUNK, BOUNDARY_MOST, TEXTS = 1 << 21, 200, 1024
 #: Lists in which a pair with a heavy set must meet; sets below four shingles have no unequal partner.
 SCANNED = 4
 #: Log2 of the sketch's slots, and of the slots of one of its rows.
 SLOTS, ROW = 22, 16
+#: List entries that are joined at a time, about, and joins at most: shuffle files of one join are deleted before the next.
+JOINED, PASSES = 1 << 22, 16
 #: Sets of a list that gives its pairs, at most.
 SHORT = 24
 #: Shingles and sets of a block of a zone, about.
@@ -54,11 +57,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most TEXTS rows, so that few texts are Python strings at once."""
+    for b in batches:
+        for first in range(0, b.num_rows, TEXTS):
+            yield b.slice(first, TEXTS)
+
+
 class _Words(dict):
-    """Hashes of words; at most a million are remembered."""
+    """Hashes of words; at most 2^17 are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 1 << 17:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -120,7 +130,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
         sets, rows = [], []
 
-    for b in batches:
+    for b in _parts(batches):
         id_type = b.schema.field(0).type
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingles(text)
@@ -185,7 +195,7 @@ def _postings(levels, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         seen: set[bytes] = set()
-        for b in batches:
+        for b in _parts(batches):
             hs, keys, ns, at = [], [], [], []
             for text in b.column(0).to_pylist():
                 s = shingles(text)
@@ -280,6 +290,25 @@ def compare_block(key, pdf):
     return pd.concat([counted, pd.DataFrame({"key": pd.array(a, "int64"), "other": pd.array(b, "Int64"), "links": 0})])
 
 
+def measure_lists(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """The entries of lists that more than one set shares, each with the smallest key of its list (low) and its length.
+
+    Lists are taken in passes by their hashes, each over all entries of its lists, so that only the shuffle files of about
+    JOINED entries exist at once however large the table is."""
+    passes = int(min(PASSES, max(1, -(-postings.count() // JOINED))))
+    out = None
+    for k in range(passes):
+        part = postings.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == k) if passes > 1 else postings
+        shared = part.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h", "low")
+        live = scratch.keep(part.join(shared, "h").distinct(), "lists")
+        # Each entry with the length of its list: one join for long and short lists alike.
+        lengths = live.groupBy("h").agg(F.count("*").alias("length"))
+        done = scratch.keep(live.join(lengths, "h"), "measured")
+        scratch.drop("lists")
+        out = done if out is None else out.union(done)
+    return out
+
+
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, links_verified.
 
@@ -296,22 +325,18 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     told = own.mapInArrow(_describe, f"id {kind}, n long, key long, sig binary, scan long, place int, at binary, times binary")
     told = scratch.keep(told, "shingles")
-    rows = told.where("n is not null").select("id", "n", "key", "scan")
+    rows = scratch.keep(told.where("n is not null").select("id", "n", "key", "scan"), "rows")
     levels = spark.sparkContext.broadcast(shingle_levels(told.where("place is not null").select("place", "at", "times")))
     spread = max(1, told.rdd.getNumPartitions())
+    scratch.drop("shingles")
     sizes = rows.where(f"n between 4 and {BOUNDARY_MOST - 1}").groupBy("n").agg(F.approx_count_distinct("key"), F.sum("scan")).collect()
     boundary = choose_boundary([tuple(map(int, r)) for r in sizes], spread)
     kinds = rows.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("copies"), F.min("id").alias("low"))
     kinds = scratch.keep(kinds, "kinds")
 
     postings = scratch.keep(own.select("text").mapInArrow(_postings(levels, boundary), "h long, key long, n int, pos int"), "postings")
-    shared = postings.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h", "low")
-    live = scratch.keep(postings.join(shared, "h").distinct(), "lists")
+    measured = measure_lists(postings, scratch)
     scratch.drop("postings")
-    # Each entry with the length of its list: one join for long and short lists alike.
-    lengths = live.groupBy("h").agg(F.count("*").alias("length"))
-    measured = scratch.keep(live.join(lengths, "h"), "measured")
-    scratch.drop("lists")
     same = measured.where(F.col("length") > SHORT).select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
     zones = components(scratch, same).select(F.col("id").alias("key"), F.col("component").alias("zone"))
 

@@ -80,3 +80,19 @@ def test_links_inside_a_component_are_counted(spark, monkeypatch):
     want = {i: sum(i != j and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["links_verified"] for r in ngram_classes(df).collect()} == want
+
+
+def test_lists_in_passes(spark, monkeypatch):
+    """Lists that are joined in several passes are those of one, however few entries a pass takes."""
+    from inkwell.llm import ngram_join as N
+    from inkwell.session import Scratch
+
+    rows = [(h, key, 10, h % 3) for h in range(-40, 40) for key in range(1 + h % 4)] + [(5, 0, 10, 2)]
+    entries = spark.createDataFrame(rows, "h long, key long, n int, pos int")
+    scratch = Scratch(spark)
+    whole = sorted(map(tuple, N.measure_lists(entries, scratch).select("h", "key", "n", "pos", "low", "length").collect()))
+    monkeypatch.setattr(N, "JOINED", 20)
+    kept = N.measure_lists(entries, scratch)
+    assert sorted(map(tuple, kept.select("h", "key", "n", "pos", "low", "length").collect())) == whole
+    assert len(scratch.paths["measured"]) == 1 + -(-len(rows) // 20) and "lists" not in scratch.paths
+    scratch.drop()

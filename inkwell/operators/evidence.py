@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.session import spread
+
 #: A lexicon that comes with the engine: names, other spellings and domains of public data sets; a parameter everywhere.
 LEXICON = [
     ("ImageNet", "ILSVRC", "vision"), ("CIFAR-10", "CIFAR10", "vision"), ("CIFAR-100", "CIFAR100", "vision"), ("MNIST", "", "vision"), ("COCO", "MS COCO|Microsoft COCO", "vision"), ("ADE20K", "", "vision"), ("Cityscapes", "", "vision"),
@@ -89,9 +95,103 @@ def merged_counts(*tables: DataFrame, keys: list[str], count: str = "n") -> Data
     return out.groupBy(*keys).agg(F.sum(count).alias(count))
 
 
+#: Bytes by which links are looked up at first, those of shorter ones by all of theirs; log2 of the slots of the filter of
+#: links at most (64 MB); bytes of text that are looked through at a time, about.
+ANCHOR, FILTER, CHUNK = 8, 29, 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+class _Windows:
+    """64-bit hashes of any windows of some bytes, from sums of their powers modulo 2^64."""
+
+    def __init__(self, raw: bytes):
+        n = len(raw)
+        up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, k, np.uint64)])) for k in (np.uint64(_BASE), np.uint64(_BACK)))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n])])
+
+    def at(self, starts: np.ndarray, sizes) -> np.ndarray:
+        h = (self.sums[starts + sizes] - self.sums[starts]) * self.down[starts]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return h ^ (h >> np.uint64(29))
+
+
+def _link_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links to (size, h): their bytes, and the hashes of the whole and of its first ANCHOR bytes."""
+    for b in batches:
+        raw = [u.encode() for u in b.column(0).to_pylist()]
+        sizes = np.array(list(map(len, raw)), np.int64)
+        w, starts = _Windows(b"".join(raw)), np.cumsum(sizes) - sizes
+        h = np.concatenate([w.at(starts, sizes), w.at(starts, np.minimum(sizes, ANCHOR))])
+        yield pa.RecordBatch.from_pydict({"size": pa.array(np.tile(sizes, 2)), "h": pa.array(h.view(np.int64))})
+
+
+def _links_in(wanted):
+    """(doc, page, text) to (doc, page, url): each substring of a text that the filter takes for a link, once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, bits, sizes = wanted.value
+
+        def known(h):
+            slot = (h >> np.uint64(64 - log)).astype(np.int64)
+            return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+        def search(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+            raw, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+            w = _Windows(raw)
+            for anchor in sorted({min(k, ANCHOR) for k in sizes}):
+                if not anchor:
+                    yield from ((i, b"") for i in range(len(texts)))
+                    continue
+                hit = np.arange(max(0, len(raw) - anchor + 1))
+                hit = hit[known(w.at(hit, anchor))]
+                owner = np.searchsorted(ends, hit, "right")
+                for k in (k for k in sizes if min(k, ANCHOR) == anchor):
+                    fits = hit + k <= ends[owner]
+                    at, own = hit[fits], owner[fits]
+                    good = known(w.at(at, k))
+                    yield from {(i, raw[p : p + k]) for i, p in zip(own[good].tolist(), at[good].tolist(), strict=True)}
+
+        for b in batches:
+            texts, first, held = [], 0, 0
+            rows, urls = [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                texts.append(t.encode())
+                held += len(texts[-1])
+                if held > CHUNK or i + 1 == b.num_rows:
+                    for k, url in search(texts):
+                        try:  # what is cut inside a character is no link
+                            urls.append(url.decode())
+                            rows.append(first + k)
+                        except UnicodeDecodeError:
+                            pass
+                    texts, first, held = [], i + 1, 0
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(urls, pa.string())], ["doc", "page", "url"])
+
+    return run
+
+
 def link_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc, url, page: the first page whose text has the link. Both meet by document."""
-    return links.join(pages.select("doc", "page", F.col("text").alias("page_text")), "doc").where(F.contains("page_text", "url")).groupBy("doc", "url").agg(F.min("page").alias("page"))
+    """doc, url, page: the first page whose text has the link.
+
+    Every text is read once, past a filter of all links (of 64 MB at most) by hashes of its windows that are as long as a
+    link; what passes is joined with the links by document and link, so no page meets a link that it may not hold."""
+    spark = links.sparkSession
+    own = links.where(F.col("doc").isNotNull() & F.col("url").isNotNull()).select("doc", "url").distinct()
+    hashed = own.select("url").distinct().mapInArrow(_link_hashes, "size long, h long")
+    many = {r["size"]: r["count"] for r in hashed.groupBy("size").count().collect()}
+    log = int(min(FILTER, max(15, np.ceil(np.log2(max(1, sum(many.values())) * 32)))))
+    bits, slot = np.zeros((1 << log) // 8, np.uint8), F.shiftrightunsigned("h", 64 - log) + 1
+    parts = hashed.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    for r in parts.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    wanted = spark.sparkContext.broadcast((log, bits, sorted(many)))
+    doc, page = (pages.schema[c].dataType.simpleString() for c in ("doc", "page"))
+    texts = spread(pages.where(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", "page", "text"))
+    met = texts.mapInArrow(_links_in(wanted), f"doc {doc}, page {page}, url string")
+    return met.groupBy("doc", "url").agg(F.min("page").alias("page")).join(own, ["doc", "url"])
 
 
 def fallback_text(sentences: Column, abstract: Column, title: Column) -> Column:

@@ -175,7 +175,7 @@ def merged_counts(spark, sf):
 
 @query("link_pages", "SELECT a.page_id % 10 AS doc, a.url, min(b.page_id) AS page FROM pages a JOIN pages b ON a.page_id % 10 = b.page_id % 10 AND strpos(b.url || ' ' || coalesce(b.html, ''), a.url) > 0 GROUP BY ALL")
 def link_pages(spark, sf):
-    p = load(spark, sf, "pages").select((F.col("page_id") % 10).alias("doc"), F.col("page_id").alias("page"), "url", F.concat_ws(" ", "url", F.coalesce("html", F.lit(""))).alias("text"))
+    p = load(spark, sf, "pages").select((F.col("page_id") % 10).alias("doc"), F.col("page_id").alias("page"), "url", F.concat("url", F.lit(" "), F.coalesce("html", F.lit(""))).alias("text"))
     return evidence.link_pages(p.select("doc", "url").distinct(), p.select("doc", "page", "text"))
 
 

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from inkwell.functions import scalars as S
 from inkwell.operators import evidence, layout, lookups
 from inkwell.sources import files
@@ -48,3 +50,24 @@ def test_table_residue(spark):
     rows = [(1, 0, i, t) for i, t in enumerate(["Plain words stand in this line of the text.", "12 4.5 7", "ab", "3 4", "More plain words in a line here."])]
     df = spark.createDataFrame(rows, "doc long, page long, line long, text string")
     assert sorted(r["line"] for r in layout.table_residue(df).collect()) == [1, 2, 3]
+
+
+def test_link_pages_against_all_pairs(spark):
+    """Links of any length, empty, repeated, cut by others and beyond ASCII; null keys and texts meet nothing."""
+    pages = [(d, p, t) for d in (1, 2) for p, t in enumerate(["see https://a.b/ab and aab", "https://a.b/abc", None, "é€é http://ü.x/é", "", "x" * 50])] + [(None, 7, "https://a.b/ab")]
+    links = [(d, u) for d in (1, 2, 3, None) for u in ("https://a.b/ab", "https://a.b/abc", "a", "aab", "é", "http://ü.x/é", "", "none", "x" * 49, None)] + [(1, "a")]
+    got = evidence.link_pages(spark.createDataFrame(links, "doc long, url string"), spark.createDataFrame(pages, "doc long, page long, text string"))
+    assert "contains(" not in got._jdf.queryExecution().toString().lower()  # no page meets a link that it may not hold
+    want = {}
+    for d, u in set(links):
+        met = [p for e, p, t in pages if d is not None and e == d and t is not None and u is not None and u in t]
+        want |= {(d, u): min(met)} if met else {}
+    rows = got.collect()
+    assert {(r["doc"], r["url"]): r["page"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_window_hashes():
+    """Equal windows have one hash wherever they stand, far from the start too, and others have others."""
+    raw = bytes(range(256)) * 3
+    h = evidence._Windows(raw).at(np.arange(700), 8)
+    assert (h[:256] == h[256:512]).all() and len(set(h.tolist())) == 256

@@ -89,3 +89,16 @@ def test_low_recall_compares_all_nodes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(df).collect()}
     assert got == brute(rows)
+
+
+def test_search_sorts_beams_only(monkeypatch):
+    """A step of the search sorts each row's beam and what is new to it, not all nodes of the shard."""
+    import numpy as np
+
+    from inkwell.llm import vector_graph as V
+
+    widths, partition = [], np.partition
+    monkeypatch.setattr(V.np, "partition", lambda a, *k, **o: widths.append(a.shape[1]) or partition(a, *k, **o))
+    x = V.unit_rows(np.random.default_rng(3).normal(size=(400, 16)))
+    V.range_search(x, [r[r >= 0] for r in V.build_lists(x)], 0.8)
+    assert widths and max(widths) <= V.BEAM + V.DEGREE

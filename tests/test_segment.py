@@ -75,3 +75,12 @@ def test_pages_hold_all_lines(spark, n):
     text = "\n".join(f"words of line {i} here" for i in range(n))
     parts = spark.createDataFrame([(text,)], "t string").select(segment.parts_of(F.col("t")).alias("p")).first()["p"]
     assert "".join(p["text"] for p in parts) == text and len(parts) == -(-n // 50)
+
+
+def test_sections_read_written_lines(spark):
+    """Lines are made once: what follows reads them from a written table."""
+    from inkwell.operators import structure
+
+    lines = spark.createDataFrame([(1, 0, 1, "1 Introduction", True), (1, 0, 2, "Some words.", False)], "doc long, page long, line int, text string, bold boolean").selectExpr("*", "50D x", "100D y", "90D width", "10D size", "0 column")
+    out = structure.sections(lines)
+    assert all("/body-" in f for f in out.inputFiles()) and out.inputFiles()

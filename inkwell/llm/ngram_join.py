@@ -6,12 +6,15 @@ enumerate all two-element subsets of such a prefix (k = 2); heavy ones, and ligh
 scan the inverted lists of theirs and must meet SCANNED times (k = SCANNED). The boundary is where the estimated cost
 of both together is least.
 
-The order comes from a count sketch over all shingles of all tasks, of fixed size. Lists of at most SHORT sets give
-their pairs, so pairs are at most SHORT / 2 times the entries. Sets that share a longer list belong to one zone, and all
-sets of a zone are compared with one another in blocks of bounded size that give counts and a spanning forest, never
-pairs. A pair that links shares a list, so it lies in one zone or meets in short lists only: no link between different
-texts is lost, all is verified on whole sets, and none is invented (shingles and sets are told apart by 64-bit and
-128-bit hashes, keys between steps have 64 bits).
+The order comes from a count sketch over all shingles of all tasks, with slots in proportion to the text: a sketch that
+is too full hides what a list of SHORT sets has above chance, frequent shingles then count as rare, and zones grow into
+one another. Lists of at most SHORT sets give their pairs, so pairs are at most SHORT / 2 times the entries. Sets that
+share a longer list belong to one zone, and all sets of a zone whose sizes allow a link are compared with one another in
+blocks of bounded size that give counts and a spanning forest, never pairs. A pair that links shares a list, so it lies
+in one zone or meets in short lists only: no link between different texts is lost, all is verified on whole sets, and
+none is invented (shingles and sets are told apart by 64-bit and 128-bit hashes, keys between steps have 64 bits).
+
+What joins of entries, pairs and sets shuffle is taken in passes, so that it is bounded whatever the groups are.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +39,19 @@ WORDS, NUM, DEN = 5, 4, 5
 CHUNK, BOUNDARY_MOST, TEXTS = 1 << 21, 200, 1024
 #: Lists in which a pair with a heavy set must meet; sets below four shingles have no unequal partner.
 SCANNED = 4
-#: Log2 of the sketch's slots, and of the slots of one of its rows.
-SLOTS, ROW = 22, 16
+#: Log2 of the sketch's slots, at least and at most (128 MB of classes), and of the slots of one of its rows; bytes of text
+#: a slot, about; rows that are added up at a time.
+SLOTS, SLOTS_MOST, ROW, LOAD, ROWS = 22, 28, 16, 256, 256
 #: List entries that are joined at a time, about, and joins at most: shuffle files of one join are deleted before the next.
 JOINED, PASSES = 1 << 22, 16
+#: Pairs of list entries, and shingles of the sets that go beside pairs or into blocks, that are shuffled at a time, about.
+PAIRED, COMPARED = 1 << 26, 1 << 26
 #: Sets of a list that gives its pairs, at most.
 SHORT = 24
 #: Shingles and sets of a block of a zone, about.
 BLOCK, BLOCK_SETS = 1 << 17, 1 << 10
+#: Sizes of one band are within this factor. It exceeds DEN / NUM, so sets that link are in one band or in neighbouring ones.
+BAND = 1.26
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -97,85 +106,98 @@ def signature(s: np.ndarray) -> tuple[bytes, int]:
     return sig, int.from_bytes(sig[:8], "little", signed=True)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (id, n, key, sig, scan), and rows of a chunk's sketch (place, at, times): counts of the slots of
-    one row of it that are not empty. Each distinct set of a task counts once."""
-    seen: set[bytes] = set()
-    sets: list[np.ndarray] = []
-    rows: list[list] = []
-    id_type, held = pa.int64(), 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal sets, rows
-        slots = [(s >> np.uint64(64 - SLOTS)).astype(np.int32) for s in sets]
-        times = np.bincount(np.concatenate(slots), minlength=1 << SLOTS) if sets else np.zeros(1 << SLOTS, np.int64)
-        scans = [int((np.partition(times[x], len(x) - need(len(x)))[: len(x) - need(len(x)) + 1] - 1).sum()) for x in slots]
-        for r in rows:
-            r[4] = scans[r[4]] if r[4] is not None else 0
-        ids, sizes, keys, sigs, scan = zip(*rows, strict=True) if rows else ((),) * 5
-        own = len(rows)
-        place, at, counted = [], [], []
-        for k in range(1 << (SLOTS - ROW)) if sets else ():
-            part = times[k << ROW : (k + 1) << ROW]
-            if len(hit := np.flatnonzero(part)):
-                place.append(k)
-                at.append(hit.astype(np.uint16).tobytes())
-                counted.append(np.minimum(part[hit], 65535).astype(np.uint16).tobytes())
-        lone = len(place)
-        yield pa.RecordBatch.from_pydict({
-            "id": pa.array([*ids, *[None] * lone], id_type), "n": pa.array([*sizes, *[None] * lone], pa.int64()),
-            "key": pa.array([*keys, *[None] * lone], pa.int64()), "sig": pa.array([*sigs, *[None] * lone], pa.binary()),
-            "scan": pa.array([*scan, *[None] * lone], pa.int64()), "place": pa.array([*[None] * own, *place], pa.int32()),
-            "at": pa.array([*[None] * own, *at], pa.binary()), "times": pa.array([*[None] * own, *counted], pa.binary()),
-        })
-        sets, rows = [], []
-
-    for b in _parts(batches):
-        id_type = b.schema.field(0).type
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            s = shingles(text)
-            sig, key = signature(s)
-            new = sig not in seen and len(s) > 0
-            rows.append([i, len(s), key, sig, len(sets) if new else None])
-            if new:
-                seen.add(sig)
-                sets.append(s)
-                held += len(s)
-            if held > CHUNK:
-                yield from flush()
-                held = 0
-    yield from flush()
+def sketch_slots(size: int) -> int:
+    """Log2 of the slots of a sketch of texts of so many bytes."""
+    return min(SLOTS_MOST, max(SLOTS, (max(1, size // LOAD) - 1).bit_length()))
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sketch of all rows of sketches of a task."""
-    total = np.zeros((1 << (SLOTS - ROW), 1 << ROW), np.int64)
-    for b in batches:
-        for place, at, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            total[place, np.frombuffer(at, np.uint16)] += np.frombuffer(times, np.uint16)
-    some = np.flatnonzero(total.any(1))
-    yield pa.RecordBatch.from_pydict({"place": pa.array(some, pa.int32()), "counts": pa.array([total[k].tobytes() for k in some], pa.binary())})
+def _describe(log: int):
+    """A row per document (id, n, key, sig, scan), and rows of a chunk's sketch of 2^log slots (place, at, times): counts of
+    the slots of one row of it that are not empty. Each distinct set of a task counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        sets: list[np.ndarray] = []
+        rows: list[list] = []
+        id_type, held = pa.int64(), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal sets, rows
+            slots = [(s >> np.uint64(64 - SLOTS)).astype(np.int32) for s in sets]
+            times = np.bincount(np.concatenate(slots), minlength=1 << SLOTS) if sets else np.zeros(1 << SLOTS, np.int64)
+            scans = [int((np.partition(times[x], len(x) - need(len(x)))[: len(x) - need(len(x)) + 1] - 1).sum()) for x in slots]
+            for r in rows:
+                r[4] = scans[r[4]] if r[4] is not None else 0
+            ids, sizes, keys, sigs, scan = zip(*rows, strict=True) if rows else ((),) * 5
+            own = len(rows)
+            place, at, counted = [], [], []
+            if sets:
+                flat = np.sort(np.concatenate([(s >> np.uint64(64 - log)).astype(np.uint32) for s in sets]))
+                first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+                slot, times = flat[first], np.diff(np.append(first, len(flat)))
+                ends = np.searchsorted(slot >> np.uint32(ROW), np.arange((1 << (log - ROW)) + 1))
+                for k in np.flatnonzero(np.diff(ends)):
+                    part = slice(ends[k], ends[k + 1])
+                    place.append(k)
+                    at.append(slot[part].astype(np.uint16).tobytes())
+                    counted.append(np.minimum(times[part], 65535).astype(np.uint16).tobytes())
+            lone = len(place)
+            yield pa.RecordBatch.from_pydict({
+                "id": pa.array([*ids, *[None] * lone], id_type), "n": pa.array([*sizes, *[None] * lone], pa.int64()),
+                "key": pa.array([*keys, *[None] * lone], pa.int64()), "sig": pa.array([*sigs, *[None] * lone], pa.binary()),
+                "scan": pa.array([*scan, *[None] * lone], pa.int64()), "place": pa.array([*[None] * own, *place], pa.int32()),
+                "at": pa.array([*[None] * own, *at], pa.binary()), "times": pa.array([*[None] * own, *counted], pa.binary()),
+            })
+            sets, rows = [], []
+
+        for b in _parts(batches):
+            id_type = b.schema.field(0).type
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingles(text)
+                sig, key = signature(s)
+                new = sig not in seen and len(s) > 0
+                rows.append([i, len(s), key, sig, len(sets) if new else None])
+                if new:
+                    seen.add(sig)
+                    sets.append(s)
+                    held += len(s)
+                if held > CHUNK:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+
+    return run
 
 
 def _leveled(pdf):
-    """The class of each slot of one row of the sketch: 0 for a count that chance explains, else log2 of what it has above
-    that. Slots are hashes, so the row's median is what chance gives."""
+    """The class of each slot of one row of the sketch, two a byte: 0 for a count that chance explains, else log2 of what it
+    has above that, 15 at most. Slots are hashes, so the row's median is what chance gives."""
     import pandas as pd
 
-    total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
+    at, times = (np.frombuffer(b"".join(pdf[c]), np.uint16) for c in ("at", "times"))
+    total = np.bincount(at, times, 1 << ROW)
     usual = float(np.median(total))
     above = total - usual - 3 * np.sqrt(usual)
-    return pd.DataFrame({"place": pdf["place"][:1], "level": [np.floor(np.log2(np.maximum(above, 1))).astype(np.uint8).tobytes()]})
+    level = np.minimum(np.floor(np.log2(np.maximum(above, 1))), 15).astype(np.uint8)
+    return pd.DataFrame({"place": pdf["place"][:1], "level": [(level[::2] | (level[1::2] << 4)).tobytes()]})
+
+
+def shingle_levels(sketch: DataFrame, log: int, scratch: Scratch) -> np.ndarray:
+    """The classes of the 2^log slots, two a byte: one task a row adds its counts up, ROWS rows at a time, and the driver
+    gets half a byte a slot."""
+    out = np.zeros((1 << (log - ROW), 1 << (ROW - 1)), np.uint8)
+    for k in range(0, len(out), ROWS):
+        part = sketch.where(F.col("place").between(k, k + ROWS - 1))
+        for row in scratch.keep(part.groupBy("place").applyInPandas(_leveled, "place int, level binary"), "levels").toLocalIterator():
+            out[row["place"]] = np.frombuffer(row["level"], np.uint8)
+        scratch.drop("levels")
+    return out.ravel()
 
 
-def shingle_levels(sketch: DataFrame) -> np.ndarray:
-    """The class of each slot: at most 16 tasks add the sketches up, one task a row adds 16 of these, and the driver gets a
-    byte a slot."""
-    summed = sketch.coalesce(16).mapInArrow(_summed, "place int, counts binary")
-    out = np.zeros((1 << (SLOTS - ROW), 1 << ROW), np.uint8)
-    for row in summed.groupBy("place").applyInPandas(_leveled, "place int, level binary").collect():
-        out[row["place"]] = np.frombuffer(row["level"], np.uint8)
-    return out.ravel()
+def level_of(levels: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The classes of shingles."""
+    at = (s >> np.uint64(64 - (len(levels).bit_length()))).astype(np.int64)
+    return (levels[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & np.uint8(15)
 
 
 def choose_boundary(sizes: list[tuple[int, int, int]], spread: int) -> int:
@@ -206,7 +228,7 @@ def _postings(levels, boundary: int):
                 if sig in seen:
                     continue
                 seen.add(sig)
-                s = s[np.argsort(level[s >> np.uint64(64 - SLOTS)], kind="stable")]
+                s = s[np.argsort(level_of(level, s), kind="stable")]
                 spare = n - need(n)
                 own = []
                 if n * DEN >= boundary * NUM:
@@ -240,17 +262,19 @@ def _bitmap(hashes: DataFrame, many: int) -> tuple[int, np.ndarray]:
 
 
 def _sets(wanted):
-    """(h, text) to (key, s) of the texts whose h the filter knows."""
+    """(h, text) to (row, key, s) of the texts whose h the filter knows; row is a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, bits = wanted.value
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             slot = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - log)).astype(np.int64)
             hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
             for part in range(0, len(hit), 256):
                 sets = [shingles(t) for t in b.column(1).take(pa.array(hit[part : part + 256])).to_pylist()]
                 key = [signature(s)[1] for s in sets]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+                rows = np.arange(row, row := row + len(key))
+                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "key": pa.array(key, pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
     return run
 
@@ -286,6 +310,7 @@ def compare_block(key, pdf):
             a += [names[i]] * int(apart.sum())
             b += names[hit[first[apart]]].tolist()
             tree[np.isin(tree, trees[apart])] = tree[i]
+    names, links = names[links > 0], links[links > 0]
     counted = pd.DataFrame({"key": names, "other": pd.array([None] * len(names), "Int64"), "links": links})
     return pd.concat([counted, pd.DataFrame({"key": pd.array(a, "int64"), "other": pd.array(b, "Int64"), "links": 0})])
 
@@ -309,6 +334,85 @@ def measure_lists(postings: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
+def pairs_of(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets that meet often enough in the lists whose entries (h, key, n, pos, length, zone) are given, but
+    for those of one zone. Pairs are taken in passes by their first set, of about PAIRED pairs of entries each."""
+    many = placed.agg(F.coalesce(F.sum(F.col("length") - 1), F.lit(0))).first()[0] // 2
+    passes = max(1, -(-many // PAIRED))
+    x, y = (placed.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "pos", "zone")]) for k in "xy")
+    fits = (F.col("n_x") * DEN >= F.col("n_y") * NUM) & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
+    most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    room = (F.col("pos_x") < 0) | (most * (NUM + DEN) >= (F.col("n_x") + F.col("n_y")) * NUM)
+    alike = (F.col("pos_x") < 0) == (F.col("pos_y") < 0)
+    apart = F.col("zone_x").isNull() | F.col("zone_y").isNull() | (F.col("zone_x") != F.col("zone_y"))
+    out = None
+    for k in range(passes):
+        own = x.where(F.pmod(F.xxhash64("key_x"), F.lit(passes)) == k) if passes > 1 else x
+        pairs = own.join(y, (own["h"] == y["h"]) & (own["key_x"] < y["key_y"]) & fits & alike & room & apart)
+        pairs = pairs.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(F.sum(F.when(F.col("pos_x") < 0, SCANNED).otherwise(1)).alias("met"))
+        done = scratch.keep(pairs.where(F.col("met") >= SCANNED).select("a", "b"), "pairs")
+        out = done if out is None else out.union(done)
+    return out
+
+
+def whole_sets(texts: DataFrame, known, scratch: Scratch) -> DataFrame:
+    """(key, s) of the texts (h, text) that the filter knows, each set once. Sets do not move for that: only the rows of
+    those that came more than once are looked for."""
+    sets = scratch.keep(texts.mapInArrow(_sets(known), "row long, key long, s array<long>"), "sets")
+    firsts = sets.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1").select("key", "first")
+    again = scratch.keep(sets.select("row", "key").join(firsts, "key").where("row <> first").select("row"), "again")
+    return sets.join(again, "row", "left_anti").select("key", "s")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets, in passes by the first one, of about COMPARED shingles each."""
+    mean = sets.agg(F.coalesce(F.avg(F.size("s")), F.lit(0.0))).first()[0]
+    passes = max(1, int(pairs.count() * mean / COMPARED) + 1)
+    out = None
+    for k in range(passes):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(passes)) == k
+        near, first = (pairs.where(mine("a")), sets.where(mine("key"))) if passes > 1 else (pairs, sets)
+        near = near.join(first.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+        near = near.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+        both = F.size(F.array_intersect("sa", "sb"))
+        done = scratch.keep(near.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 80).select("a", "b"), "near")
+        out = done if out is None else out.union(done)
+    return out
+
+
+def compare_zones(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """compare_block over all pairs of blocks of each zone whose sizes allow a link. members: zone, key, n, copies.
+
+    A zone of more than one block is cut by size into bands, these by hash into blocks; blocks of one band and of
+    neighbouring bands meet. Pairs of blocks are taken in passes by hash, of about COMPARED shingles each."""
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_SETS)).cast("long")
+    members = attach(members, members.groupBy("zone").agg(blocks.alias("salts")), "zone")
+    band = F.when(F.col("salts") > 1, F.floor(F.log("n") / float(np.log(BAND)))).otherwise(0).cast("long")
+    members = scratch.keep(members.withColumn("band", band).withColumn("place", F.concat_ws(":", "zone", "band")).drop("salts"), "members")
+    salts = scratch.keep(members.groupBy("place", "zone", "band").agg(blocks.alias("salts"), F.sum("n").alias("n")), "salts")
+    for name, step in (("below", -1), ("above", 1)):
+        beside = salts.select("zone", (F.col("band") - step).alias("band"), F.col("salts").alias(name))
+        salts = salts.join(beside, ["zone", "band"], "left") 
+    salts = scratch.keep(salts.na.fill(0, ["below", "above"]), "beside")
+    many = salts.agg(F.coalesce(F.sum(F.col("n") * (F.col("salts") + F.col("below") + F.col("above"))), F.lit(0))).first()[0]
+    passes = max(1, -(-many // COMPARED))
+    at = lambda step, salt: F.shiftleft(F.col("band") + step, 32) + salt
+    rows = attach(members, salts.select("place", "salts", "below", "above"), "place").join(sets, "key")
+    rows = rows.withColumn("salt", at(0, F.pmod(F.xxhash64("key"), "salts")))
+    rows = scratch.keep(rows.select("zone", "key", "s", "copies", "salt", "band", "salts", "below", "above"), "zoned")
+    all_of = lambda step, c: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(c) - 1), lambda o: at(step, o))).otherwise(F.array().cast("array<long>"))
+    others = F.concat(all_of(-1, "below"), all_of(0, "salts"), all_of(1, "above"))
+    out = None
+    for k in range(passes):
+        due = lambda o: F.pmod(F.xxhash64("zone", F.least("salt", o), F.greatest("salt", o)), F.lit(passes)) == k
+        part = rows.withColumn("other", F.explode(F.filter(others, due) if passes > 1 else others))
+        part = part.select("zone", F.least("salt", "other").alias("one"), F.greatest("salt", "other").alias("two"), "key", "s", "copies", "salt")
+        done = scratch.keep(part.groupBy("zone", "one", "two").applyInPandas(compare_block, "key long, other long, links long"), "dense")
+        out = done if out is None else out.union(done)
+    scratch.drop("members", "salts", "beside", "zoned")
+    return out
+
+
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, links_verified.
 
@@ -323,10 +427,11 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    told = own.mapInArrow(_describe, f"id {kind}, n long, key long, sig binary, scan long, place int, at binary, times binary")
+    log = sketch_slots(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    told = own.mapInArrow(_describe(log), f"id {kind}, n long, key long, sig binary, scan long, place int, at binary, times binary")
     told = scratch.keep(told, "shingles")
     rows = scratch.keep(told.where("n is not null").select("id", "n", "key", "scan"), "rows")
-    levels = spark.sparkContext.broadcast(shingle_levels(told.where("place is not null").select("place", "at", "times")))
+    levels = spark.sparkContext.broadcast(shingle_levels(told.where("place is not null").select("place", "at", "times"), log, scratch))
     spread = max(1, told.rdd.getNumPartitions())
     scratch.drop("shingles")
     sizes = rows.where(f"n between 4 and {BOUNDARY_MOST - 1}").groupBy("n").agg(F.approx_count_distinct("key"), F.sum("scan")).collect()
@@ -341,38 +446,20 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     zones = components(scratch, same).select(F.col("id").alias("key"), F.col("component").alias("zone"))
 
     # Pairs of short lists, but for those of one zone.
-    placed = measured.where(F.col("length") <= SHORT).join(zones, "key", "left").select("h", "key", "n", "pos", "zone")
-    x, y = (placed.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "pos", "zone")]) for k in "xy")
-    fits = (F.col("n_x") * DEN >= F.col("n_y") * NUM) & (F.col("n_y") * DEN >= F.col("n_x") * NUM)
-    most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    room = (F.col("pos_x") < 0) | (most * (NUM + DEN) >= (F.col("n_x") + F.col("n_y")) * NUM)
-    alike = (F.col("pos_x") < 0) == (F.col("pos_y") < 0)
-    apart = F.col("zone_x").isNull() | F.col("zone_y").isNull() | (F.col("zone_x") != F.col("zone_y"))
-    pairs = x.join(y, (x["h"] == y["h"]) & (x["key_x"] < y["key_y"]) & fits & alike & room & apart)
-    pairs = pairs.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(F.sum(F.when(F.col("pos_x") < 0, SCANNED).otherwise(1)).alias("met"))
-    pairs = scratch.keep(pairs.where(F.col("met") >= SCANNED).select("a", "b"), "pairs")
-    scratch.drop("measured")
+    placed = measured.where(F.col("length") <= SHORT).join(zones, "key", "left").select("h", "key", "n", "pos", "length", "zone")
+    pairs = pairs_of(scratch.keep(placed, "placed"), scratch)
+    scratch.drop("measured", "placed")
 
     # The whole sets of all that are compared, from the text of one document each.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(zones.select("key")).distinct()
     first = scratch.keep(kinds.join(wanted, "key", "left_semi").select(F.xxhash64("low").alias("h")), "wanted")
     known = spark.sparkContext.broadcast(_bitmap(first, first.count()))
     texts = own.select(F.xxhash64("id").alias("h"), "text")
-    sets = scratch.keep(texts.mapInArrow(_sets(known), "key long, s array<long>").dropDuplicates(["key"]), "sets")
-
-    near = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-    near = near.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = scratch.keep(near.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 80).select("a", "b"), "near")
+    sets = whole_sets(texts, known, scratch)
+    near = verified(pairs, sets, scratch)
     scratch.drop("pairs")
-
-    members = zones.join(kinds, "key").select("zone", "key", "n", "copies")
-    salts = members.groupBy("zone").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("salts"))
-    blocks = attach(members, salts, "zone").withColumn("salt", F.pmod(F.xxhash64("key"), "salts")).join(sets, "key")
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    blocks = blocks.select("zone", F.least("salt", "other").alias("one"), F.greatest("salt", "other").alias("two"), "key", "s", "copies", "salt")
-    dense = scratch.keep(blocks.groupBy("zone", "one", "two").applyInPandas(compare_block, "key long, other long, links long"), "dense")
-    scratch.drop("sets")
+    dense = compare_zones(zones.join(kinds, "key").select("zone", "key", "n", "copies"), sets, scratch)
+    scratch.drop("sets", "again")
 
     edges = near.union(dense.where("other is not null").select("key", "other"))
     found = components(scratch, edges).withColumnRenamed("id", "key")

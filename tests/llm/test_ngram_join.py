@@ -96,3 +96,60 @@ def test_lists_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, kept.select("h", "key", "n", "pos", "low", "length").collect())) == whole
     assert len(scratch.paths["measured"]) == 1 + -(-len(rows) // 20) and "lists" not in scratch.paths
     scratch.drop()
+
+
+def test_sketch_grows_with_the_text():
+    """A sketch of fixed size hides frequent shingles of large tables: of 10 GB of text, 360 shingles shared a slot."""
+    sizes = [ngram_join.sketch_slots(n) for n in (0, 10**9, 10**10, 6 * 10**10, 10**13)]
+    assert sizes == [22, 22, 26, 28, 28]
+
+
+def test_classes_of_a_larger_sketch():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    log, often = 24, "a b c d e"
+    texts = [f"{often} x{i} " + " ".join(f"y{i}_{k}" for k in range(i % 9)) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(40), pa.int64()), "text": pa.array(texts)})
+    rows = pa.Table.from_batches(ngram_join._describe(log)([batch])).to_pandas()
+    rows = rows[rows["place"].notna()]
+    levels = np.zeros((1 << (log - ngram_join.ROW), 1 << (ngram_join.ROW - 1)), np.uint8)
+    for place, part in rows.groupby("place"):
+        levels[int(place)] = np.frombuffer(ngram_join._leveled(part)["level"].iloc[0], np.uint8)
+    levels = levels.ravel()
+    assert ngram_join.level_of(levels, ngram_join.shingles(often)).tolist() == [5]
+    own = np.concatenate([ngram_join.shingles(f"y{i}_0 y{i}_1 y{i}_2 y{i}_3 y{i}_4") for i in range(40)])
+    assert ngram_join.level_of(levels, own).max() == 0
+
+
+def test_pairs_sets_and_zones_in_passes(spark, monkeypatch):
+    """However few pairs and sets a pass takes, links and classes are those of all pairs; bands of sizes lose none."""
+    from inkwell.session import Scratch
+
+    written = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, tag: (written.append(tag), keep(self, df, tag))[1])
+    for name, value in (("BLOCK", 300), ("SHORT", 6), ("PAIRED", 300), ("COMPARED", 1000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for size in (30, 33, 36, 40, 45, 50, 56, 63, 70, 79, 90):
+        for j in range(4):
+            own = base[:size]
+            if j:
+                own[rng.randrange(size)] = f"x{size}_{j}"
+            rows.append(" ".join(own))
+    for group in range(6):
+        own = [f"g{group}_{i}" for i in range(40)]
+        rows += [" ".join(own[:k] + ["z"] + own[k + 1 :]) for k in rng.sample(range(40), 5)]
+    rows = list(enumerate(rows + rows[:3]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {i: sum(i != j and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    out = ngram_classes(df)
+    same(out, rows)
+    assert {r["doc_id"]: r["links_verified"] for r in out.collect()} == want
+    passes = {tag: written.count(tag) for tag in ("pairs", "near", "dense")}
+    assert min(passes.values()) > 1, passes
